@@ -5,16 +5,34 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lakequill.llm.common import documents
 from lakequill.llm.exact_dedup import exact_dedup
 from lakequill.llm.fingerprint import fingerprints
+from lakequill.llm.sentencepiece_bpe import encode
 from lakequill.llm.url_filter import Rule, url_filter
 
 #: Fixed by the contract of op10: (host, path, verdict).
 URL_RULES = (Rule("net", "/", "block"), Rule("example.net", "/en/", "allow"), Rule("example.com", "/de/", "block"), Rule("org", "/fr/", "allow"))
 
 
+def token_digests(tokens: DataFrame) -> DataFrame:
+    return tokens.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+def piece_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(encode(documents(spark, sf_dir).select("doc_id", "text"), piece_model(), decoded=True))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir).select("doc_id", "text"))
 
@@ -28,6 +46,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_sentencepiece": op4_sentencepiece,
     "op6_exact_dedup": op6_exact_dedup,
     "op9_fingerprints": op9_fingerprints,
     "op10_url_filter": op10_url_filter,
