@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lakequill.llm.common import documents
 from lakequill.llm.exact_dedup import exact_dedup
 from lakequill.llm.fingerprint import fingerprints
+from lakequill.llm.mixing import mix
 from lakequill.llm.sentencepiece_bpe import encode
 from lakequill.llm.url_filter import Rule, url_filter
 
@@ -37,6 +38,11 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(documents(spark, sf_dir).select("doc_id", "text", "source"))
+    return mixed.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__taken").alias("taken"))
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(documents(spark, sf_dir).select("doc_id", "text"))
 
@@ -48,6 +54,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sentencepiece": op4_sentencepiece,
     "op6_exact_dedup": op6_exact_dedup,
+    "op8_mixing": op8_mixing,
     "op9_fingerprints": op9_fingerprints,
     "op10_url_filter": op10_url_filter,
 }
