@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lakequill.llm.common import documents
 from lakequill.llm.exact_dedup import exact_dedup
 from lakequill.llm.fingerprint import fingerprints
+from lakequill.llm.html_extract import extract
 from lakequill.llm.mixing import mix
 from lakequill.llm.sentencepiece_bpe import encode
 from lakequill.llm.url_filter import Rule, url_filter
@@ -34,6 +35,10 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(encode(documents(spark, sf_dir).select("doc_id", "text"), piece_model(), decoded=True))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir).select("doc_id", "text"))
 
@@ -53,6 +58,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_html_extraction": op5_html_extraction,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_mixing": op8_mixing,
     "op9_fingerprints": op9_fingerprints,
