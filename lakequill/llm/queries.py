@@ -13,6 +13,7 @@ from lakequill.llm.fingerprint import fingerprints
 from lakequill.llm.html_extract import extract
 from lakequill.llm.mixing import mix
 from lakequill.llm.sentencepiece_bpe import encode
+from lakequill.llm.simhash import hex_of, near_duplicates
 from lakequill.llm.url_filter import Rule, url_filter
 
 #: Fixed by the contract of op10: (host, path, verdict).
@@ -43,6 +44,11 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(documents(spark, sf_dir).select("doc_id", "text", "source"))
     return mixed.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__taken").alias("taken"))
@@ -60,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sentencepiece": op4_sentencepiece,
     "op5_html_extraction": op5_html_extraction,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_simhash": op7_simhash,
     "op8_mixing": op8_mixing,
     "op9_fingerprints": op9_fingerprints,
     "op10_url_filter": op10_url_filter,
