@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakequill.llm.common import UPPER, batches, column, written
+from lakequill.llm.common import UPPER, batches, column, small_or_not, text_of, written
 
 FANOUT_BITS = 4
 DEEPEST = 64 // FANOUT_BITS
@@ -210,12 +210,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs that exact_dedup keeps, with all their columns."""
-    kept = exact_dedup(docs, id_col, text_col, **options).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    sha = F.sha2(F.translate(F.coalesce(column(docs, text_col), F.lit("")), UPPER, UPPER.lower()), 256)
-    keyed = docs.withColumns({"__sha": sha, "__id": column(docs, id_col).cast("long")})
-    kept = written(kept, "exact-kept")
-    found = keyed.join(kept.withColumnsRenamed({"__id": "__kid", "__sha": "__ksha"}), F.col("__id").eqNullSafe(F.col("__kid")) & (F.col("__sha") == F.col("__ksha")), "left_semi")
-    repeated = keyed.groupBy("__id", "__sha").count().where("count > 1")
-    if not repeated.join(kept, (repeated["__id"].eqNullSafe(kept["__id"])) & (repeated["__sha"] == kept["__sha"]), "left_semi").isEmpty():
-        found = found.dropDuplicates(["__id", "__sha"])
-    return found.drop("__id", "__sha")
+    keys = exact_dedup(docs, id_col, text_col, **options).groupBy(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
+    gone = keys.agg(F.count_if("kept").alias("__kept"), F.count(F.lit(1)).alias("__rows")).where("__kept < __rows")
+    gone = written(gone, "exact-gone")
+    sha = F.sha2(F.translate(text_of(column(docs, text_col)), UPPER, UPPER.lower()), 256)
+    same = column(docs, id_col).cast("long").eqNullSafe(F.col("__id")) & (sha == F.col("__sha"))
+    found = docs.join(small_or_not(gone.drop("__kept", "__rows"), gone.count()), same, "left_anti")
+    repeated = gone.where("__kept > 0")  # rows that repeat with their ids: one stays
+    many = repeated.count()
+    if many:
+        once = docs.withColumns({"__row_id": column(docs, id_col).cast("long"), "__row_sha": sha}).join(small_or_not(repeated.drop("__kept", "__rows"), many), same, "left_semi")
+        found = found.unionByName(once.dropDuplicates(["__row_id", "__row_sha"]).drop("__row_id", "__row_sha"))
+    return found

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakequill.llm.common import documents
@@ -14,15 +14,21 @@ from lakequill.llm.html_extract import extract
 from lakequill.llm.mixing import mix
 from lakequill.llm.sentencepiece_bpe import encode
 from lakequill.llm.simhash import hex_of, near_duplicates
+from lakequill.llm.toxicity import toxicity
 from lakequill.llm.url_filter import Rule, url_filter
 
 #: Fixed by the contract of op10: (host, path, verdict).
 URL_RULES = (Rule("net", "/", "block"), Rule("example.net", "/en/", "allow"), Rule("example.com", "/de/", "block"), Rule("org", "/fr/", "allow"))
 
 
-def token_digests(tokens: DataFrame) -> DataFrame:
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    return toxicity(documents(spark, sf_dir).select("doc_id", "text"), labels)
+
+
+def token_digests(tokens: DataFrame, *more: Column) -> DataFrame:
     return tokens.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+        "doc_id", *more, F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
 
 
@@ -63,6 +69,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_html_extraction": op5_html_extraction,
     "op6_exact_dedup": op6_exact_dedup,

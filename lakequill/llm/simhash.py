@@ -296,3 +296,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def hex_of(fp: Column) -> Column:
     """16 lower-case hex digits."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
+def group_heads(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs whose id is the smallest of their near-duplicate group, with all their columns; rows without an id can't be told apart and stay."""
+    gone = near_duplicates(docs, id_col, text_col, **options).where(F.col(id_col).isNotNull() & (F.col(id_col) != F.col("component_id"))).select(F.col(id_col).alias("__id")).distinct()
+    gone = written(gone, "simhash-gone")
+    return docs.join(small_or_not(gone, gone.count()), column(docs, id_col) == F.col("__id"), "left_anti")
