@@ -14,6 +14,7 @@ from lakequill.llm.html_extract import extract
 from lakequill.llm.mixing import mix
 from lakequill.llm.sentencepiece_bpe import encode
 from lakequill.llm.simhash import hex_of, near_duplicates
+from lakequill.llm.suffix_dedup import repeated_passages
 from lakequill.llm.toxicity import toxicity
 from lakequill.llm.url_filter import Rule, url_filter
 
@@ -26,6 +27,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(documents(spark, sf_dir).select("doc_id", "text"), labels)
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeated_passages(documents(spark, sf_dir).select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def token_digests(tokens: DataFrame, *more: Column) -> DataFrame:
     return tokens.select(
         "doc_id", *more, F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
@@ -70,6 +77,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_html_extraction": op5_html_extraction,
     "op6_exact_dedup": op6_exact_dedup,
