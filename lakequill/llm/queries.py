@@ -12,6 +12,7 @@ from lakequill.llm.exact_dedup import exact_dedup
 from lakequill.llm.fingerprint import fingerprints
 from lakequill.llm.html_extract import extract
 from lakequill.llm.mixing import mix
+from lakequill.llm.secret_scan import secret_scan
 from lakequill.llm.sentencepiece_bpe import encode
 from lakequill.llm.simhash import hex_of, near_duplicates
 from lakequill.llm.suffix_dedup import repeated_passages
@@ -33,6 +34,10 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(documents(spark, sf_dir).select("doc_id", "text", "source"))
+
+
 def token_digests(tokens: DataFrame, *more: Column) -> DataFrame:
     return tokens.select(
         "doc_id", *more, F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
@@ -78,6 +83,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_secret_scan": op3_secret_scan,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_html_extraction": op5_html_extraction,
     "op6_exact_dedup": op6_exact_dedup,
