@@ -1,0 +1,51 @@
+from __future__ import annotations
+
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from lakequill.llm import secret_scan as S
+
+
+@pytest.fixture(scope="module")
+def split(spark):
+    found = S.made_findings(spark)
+    part = F.pmod(F.hash("candidate"), F.lit(5)) == 0
+    return found.where(~part), found.where(part)
+
+
+def test_held_out_findings(split):
+    model = S.train(split[0])
+    right = model.transform(S._vectors(S.features(split[1]))).select((F.col("is_secret").cast("double") == F.col("prediction")).alias("ok")).agg(F.avg(F.col("ok").cast("int"))).first()[0]
+    assert right > 0.97
+
+
+TEXTS = ['token = "9233a8ecf7c5b09fe5949719b6b82bc439e9329b" and 4225039295678253 é😀 password: \'Zx81kQ0vP2mN7rT4sW9y\'', "no candidates here", "", None, "mail it.26@mail6.example.com of 97.51.17.173", "abcdefghijk1 " * 3_000]
+
+
+def test_offsets_and_verdicts(spark):
+    df = spark.createDataFrame([(i, t, "src/x.py", 1) for i, t in enumerate(TEXTS)] + [(0, TEXTS[0], None, 1), (None, TEXTS[4], "x", 1)], "doc_id long, text string, source string, start int")
+    got = S.secret_scan(df).collect()
+    want = sorted((i if i is not None else -1, m.start(), m.end()) for i, t, *_ in map(tuple, df.collect()) for m in re.finditer(S.CANDIDATE, t or "", re.A))
+    assert sorted((r.doc_id if r.doc_id is not None else -1, r.start, r.end) for r in got) == want
+    found = {TEXTS[r.doc_id][r.start : r.end] for r in got if r.secret and r.doc_id is not None}
+    assert found == {"9233a8ecf7c5b09fe5949719b6b82bc439e9329b", "Zx81kQ0vP2mN7rT4sW9y"}
+    assert S.secret_scan(df.limit(0)).count() == 0
+    assert S.secret_scan(df, path_col=None).count() == len(got)
+
+
+def test_own_findings(spark):
+    df = spark.createDataFrame([(1, TEXTS[0], "p")], "doc_id long, text string, source string")
+    schema = "candidate string, before string, after string, path string, is_secret boolean, extra int"
+    one = spark.createDataFrame([("x1" * 8, None, None, None, False, 1), (None, "a", "b", "c", True, 1), ("y", "", "", "", None, 1)], schema)
+    assert {r.secret for r in S.secret_scan(df, one.where("is_secret is null or not is_secret")).collect()} == {False}
+    assert S.secret_scan(df, one).count() == 3
+
+
+def test_no_python_in_the_plan(spark, sf):
+    from lakequill.llm.queries import QUERIES
+
+    for name in ("op3_secret_scan", "op9_fingerprints"):
+        plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert not re.search("Python|Pandas|Arrow", plan)
