@@ -26,6 +26,8 @@ MOST_EXAMPLES = 6_000
 MOST_TERMS = 2_048
 BEGINNINGS = (4, 5, 6, 7)
 LEAST_TEXTS = 4
+LEAST_ODDS = 4.0
+FALSE_SHARE = 0.25
 NEIGHBOURS = 15
 BLOCK = 32
 #: Weight of the dimension that all texts share: it makes the cosine heed how much of a text is telling, not only what.
@@ -48,18 +50,23 @@ def term_counts(text: str) -> Counter:
 
 
 def told_apart(counts: list[tuple[str, int, int]], toxic: int, clean: int, most: int) -> list[str]:
-    """Of (term, toxic texts, clean texts), the terms with the largest chi-square, those of toxic texts first on ties."""
+    """Of (term, toxic texts, clean texts), the terms that change the odds and whose chi-square is beyond chance, the largest first, those of toxic texts first on ties."""
     n = toxic + clean
     scored = []
     for term, a, b in counts:
         if a + b < LEAST_TEXTS:
             continue
         c, d = toxic - a, clean - b
+        odds = (a + 0.5) * (d + 0.5) / ((b + 0.5) * (c + 0.5))
+        if 1 / LEAST_ODDS < odds < LEAST_ODDS:
+            continue  # words of a language whose share is a bit larger don't tell
         below = (a + b) * (c + d) * toxic * clean
         chi = n * (a * d - b * c) ** 2 / below if below else 0.0
-        if chi > 6.63:  # one in a hundred by chance
-            scored.append((-chi, -a, term))
-    return [t for _, _, t in sorted(scored)[:most]]
+        scored.append((math.erfc(math.sqrt(chi / 2)), -chi, -a, term))  # the chance of this much, one degree of freedom
+    scored.sort()
+    # Benjamini-Hochberg over all terms tested: so many that this share of them is expected to be there by chance.
+    last = max((i for i, s in enumerate(scored, 1) if s[0] <= FALSE_SHARE * i / max(1, len(counts))), default=0)
+    return [s[3] for s in scored[: min(last, most)]]
 
 
 class Neighbour(NamedTuple):
