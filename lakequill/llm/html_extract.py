@@ -197,7 +197,12 @@ def content(lines: list[Line], names: dict[int, str]) -> list[Line]:
     first, last = picked[0], picked[-1]
     while first and lines[first - 1].heading and not lines[first - 1].never:
         first -= 1
-    return [x for i, x in enumerate(lines) if not x.never and first <= i <= last and (region is None or region in x.inside or x.heading) and x.linked <= DENSE_LINKS * len(x.text)]
+    beside = {lines[i].inside[-2:-1] for i in picked}  # the elements that hold the picked blocks hold short ones too
+    return [
+        x
+        for i, x in enumerate(lines)
+        if not x.never and (first <= i <= last or x.inside[-2:-1] in beside) and (region is None or region in x.inside or x.heading) and x.linked <= DENSE_LINKS * len(x.text)
+    ]
 
 
 def main_text(html: str | None) -> str:
