@@ -13,7 +13,7 @@ DECAY_KM = {"site": 10.0, "town": 10.0, "region": 50.0}
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     half = lambda a, b: F.pow(F.sin((F.radians(b) - F.radians(a)) / 2), F.lit(2.0))
     h = half(lat1, lat2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half(lon1, lon2)
-    return EARTH_DIAMETER_KM * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
+    return EARTH_DIAMETER_KM * F.asin(F.sqrt(F.when(h > 1, F.lit(1.0)).otherwise(h)))  # least() would skip a null
 
 
 def decay_of(granularity: Column) -> Column:

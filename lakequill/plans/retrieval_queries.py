@@ -206,7 +206,7 @@ def rrf_fusion(t) -> DataFrame:
 
 
 _POINT = "45 + ({0} * 37 % 1000) / 500.0 AS lat, 14 + ({0} * 91 % 1000) / 400.0 AS lon"
-_KM = "12742 * asin(sqrt(least(1, pow(sin((radians({2}) - radians({0})) / 2), 2) + cos(radians({0})) * cos(radians({2})) * pow(sin((radians({3}) - radians({1})) / 2), 2))))"
+_KM = "12742 * asin(sqrt(pow(sin((radians({2}) - radians({0})) / 2), 2) + cos(radians({0})) * cos(radians({2})) * pow(sin((radians({3}) - radians({1})) / 2), 2)))"
 
 
 def _points(df: DataFrame, key: str) -> DataFrame:
