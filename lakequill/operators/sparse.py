@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakequill.functions.text import tokens, words
+from lakequill.functions.text import TOKEN, tokens, words
 from lakequill.operators.ranking import top_k
 from lakequill.operators.sizes import small_or_shuffled
 
@@ -20,13 +20,13 @@ B = 0.75
 def term_counts(docs: DataFrame, terms: Column | None = None) -> DataFrame:
     """(id, term, tf) of docs (id, text)."""
     found = terms if terms is not None else tokens(F.col("text"))
-    return docs.select("id", F.explode(found).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return docs.select("id", F.explode_outer(found).alias("term")).where("term is not null").groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def doc_lengths(docs: DataFrame, terms: Column | None = None) -> DataFrame:
-    """(id, length): tokens, 1 at least, also of documents without any."""
-    found = terms if terms is not None else tokens(F.col("text"))
-    return docs.select("id", F.greatest(F.size(F.coalesce(found, F.array().cast("array<string>"))), F.lit(1)).cast("long").alias("length"))
+def doc_lengths(docs: DataFrame) -> DataFrame:
+    """(id, length): tokens, 1 at least, also of documents without any. Counted, not collected."""
+    n = F.regexp_count(F.lower("text"), F.lit(TOKEN))
+    return docs.select("id", F.greatest(F.coalesce(n, F.lit(0)), F.lit(1)).cast("long").alias("length"))
 
 
 def corpus_size(docs: DataFrame) -> DataFrame:
@@ -48,14 +48,15 @@ def postings(docs: DataFrame, only: DataFrame | None = None, k1: float = K1, b:
     The statistics are those of all documents either way.
     """
     found = docs.select("id", tokens(F.col("text")).alias("tokens"))
-    found = found.withColumn("length", F.greatest(F.size(F.coalesce("tokens", F.array().cast("array<string>"))), F.lit(1)))
-    size = found.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg_length"))
-    terms = found.select("id", "length", F.explode("tokens").alias("term"))
+    found = found.withColumn("length", F.greatest(F.size(F.coalesce("tokens", F.array().cast("array<string>"))), F.lit(1)).cast("long"))
+    # The outer form: for the plain one Spark infers a filter that would tokenise every text once more.
+    terms = found.select("id", "length", F.explode_outer("tokens").alias("term")).where("term is not null")
     if only is not None:
         terms = terms.join(small_or_shuffled(only.select("term").distinct()), "term", "left_semi")
     tf = terms.groupBy("term", "id", "length").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    joined = tf.join(df, "term").crossJoin(F.broadcast(size))  # size is one row
+    # Written so that tf is read: both sides then share one exchange, and texts are tokenised once for them.
+    df = tf.groupBy("term").agg(F.sum(F.least("tf", F.lit(1))).alias("df"))
+    joined = tf.join(df, "term").crossJoin(F.broadcast(corpus_size(docs)))  # one row
     return joined.select("term", F.col("id").alias("chunk_id"), weight(idf(F.col("n"), F.col("df")), F.col("tf"), F.col("length"), F.col("avg_length"), k1, b).alias("w"))
 
 
