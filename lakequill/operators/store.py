@@ -95,12 +95,16 @@ def greedy_batches(rows: DataFrame, key: str, order: str, cost: Column, most: in
 
 
 def materialized(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write df to the shared folder that the cluster names, or a local one where none is named, and read it back."""
+    """Cut the lineage: write df to the shared folder that the cluster names, (in local mode a local one where none is named) and read it back."""
     import tempfile
     import uuid
 
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lakequill-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="lakequill-")
     path = f"{folder.rstrip('/')}/lakequill/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
