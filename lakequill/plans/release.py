@@ -104,3 +104,26 @@ def batch_problems(expected: DataFrame, got: DataFrame, facts: tuple[int, int] =
     joined = expected.withColumn("e", F.lit(True)).join(got.withColumn("g", F.lit(True)), ["page_id", "j"], "full")
     problem = F.when(F.col("g").isNull(), "missing").when(F.col("e").isNull(), "unexpected").when(~F.size("facts").between(*facts), "facts")
     return joined.select("page_id", "j", problem.alias("problem")).where("problem is not null")
+
+
+def page_lead(pages: DataFrame, most_chars: int = 1_000) -> DataFrame:
+    """(page_id, text): what a page's vector is made of, its title and the start of its text."""
+    return pages.select("page_id", F.concat_ws("\n", "title", F.left("text", F.lit(most_chars))).alias("text"))
+
+
+def question_ranks(questions: DataFrame, docs: DataFrame, query_vectors: DataFrame, page_vectors: DataFrame, cap: int = 100) -> DataFrame:
+    """(query_id, bm25_rank, dense_rank, margin) of each question's own page; the dense part is null where a vector is missing.
+
+    questions (query_id, text, own_id), docs (id, text), query_vectors (query_id, vec), page_vectors (chunk_id, vec).
+    """
+    from lakequill.operators.dense import own_rank_margin
+    from lakequill.operators.sparse import own_rank
+
+    asked = query_vectors.join(questions.select("query_id", "own_id"), "query_id")
+    return own_rank(questions, docs, cap).join(own_rank_margin(asked, page_vectors), "query_id", "left").select("query_id", "bm25_rank", "dense_rank", "margin")
+
+
+def with_language_flags(flagged: DataFrame, items: DataFrame, is_language: Column, is_english: Column) -> DataFrame:
+    """Rule flags with q_lang and en_lang from a detector: two boolean columns of items (page_id, n); null means the language isn't known and skips the check."""
+    extra = F.array_compact(F.array(F.when(~is_language, F.lit("q_lang")), F.when(~is_english, F.lit("en_lang"))))
+    return flagged.join(items.select("page_id", "n", extra.alias("__more")), ["page_id", "n"], "left").select("page_id", "n", F.concat("flags", F.coalesce("__more", F.array().cast("array<string>"))).alias("flags"))

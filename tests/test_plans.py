@@ -251,3 +251,18 @@ def test_release(spark):
     assert parts["items"].splitlines()[0] == '{"j":0,"question":"A?"}' and parts["forbidden"] == ["town", "wall", "old"]
     final = make("c double, ok boolean, fix double", (1.0, True, 2.0), (1.0, None, 2.0)).select(release.final_answer(F.col("c"), F.col("ok"), F.col("fix")).alias("x"))
     assert [r.x for r in final.collect()] == [1.0, 2.0]
+
+
+def test_question_ranks_and_language_flags(spark):
+    make = lambda schema, *rows: spark.createDataFrame(list(rows), schema)
+    pages = make("page_id string, title string, text string", ("a", "Castle", "stone walls " * 200), ("b", "Forest", "old trees"))
+    lead = {r.page_id: r.text for r in release.page_lead(pages).collect()}
+    assert lead["b"] == "Forest\nold trees" and len(lead["a"]) == len("Castle\n") + 1_000
+    questions = make("query_id long, text string, own_id string", (1, "trees", "b"), (2, "nothing", "a"))
+    docs = pages.select(F.col("page_id").alias("id"), "text")
+    vec = make("chunk_id string, vec array<float>", ("a", [1.0, 0.0]), ("b", [0.0, 1.0]))
+    got = release.question_ranks(questions, docs, make("query_id long, vec array<float>", (1, [1.0, 0.0])), vec).orderBy("query_id").collect()
+    assert [tuple(r) for r in got] == [(1, 1, 2, -1.0), (2, 101, None, None)]
+    flags = make("page_id string, n long, flags array<string>", ("a", 0, ["dup"]), ("a", 1, []))
+    items = make("page_id string, n long, own boolean, en boolean", ("a", 0, False, None), ("a", 1, True, False))
+    assert {r.n: r.flags for r in release.with_language_flags(flags, items, F.col("own"), F.col("en")).collect()} == {0: ["dup", "q_lang"], 1: ["en_lang"]}
