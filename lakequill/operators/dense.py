@@ -53,7 +53,7 @@ def _local_top(ids: list, vectors: np.ndarray, groups: list, k: int, other_group
             for low in range(0, got.num_rows, ROWS):
                 part = got.slice(low, ROWS)
                 m = _matrix(part.column(1))
-                sims = vectors.astype(np.float64) @ m.T.astype(np.float64)
+                sims = np.einsum("qd,rd->qr", vectors.astype(np.float64), m.astype(np.float64))  # no BLAS: its threads can hang in forked workers
                 if other_group:
                     own = np.array([code.get(g, -1) for g in part.column(2).to_pylist()])
                     sims[group_of[:, None] == own[None, :]] = -np.inf
@@ -121,7 +121,7 @@ def own_rank_margin(queries: DataFrame, chunks: DataFrame) -> DataFrame:
             for got in source:
                 for low in range(0, got.num_rows, ROWS):
                     part = got.slice(low, ROWS)
-                    sims = np.round(q @ _matrix(part.column(1)).T.astype(np.float64), 9)
+                    sims = np.round(np.einsum("qd,rd->qr", q, _matrix(part.column(1)).astype(np.float64)), 9)
                     for j, c in enumerate(part.column(0).to_pylist()):
                         for i in at.get(c, ()):
                             sims[i, j] = -np.inf
