@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from itertools import combinations
+from math import comb
 from typing import NamedTuple
 
 import numpy as np
@@ -121,7 +122,7 @@ def within(p: np.ndarray, bits: Sequence[int], most: int) -> list[float]:
 
 
 def variants(width: int, t: int) -> int:
-    return sum(len(list(combinations(range(width), k))) for k in range(t + 1))
+    return sum(comb(width, k) for k in range(t + 1))
 
 
 def allocate(n: int, both: np.ndarray, distance: int, most_parts: int = 8) -> list[Part]:
