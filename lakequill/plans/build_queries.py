@@ -563,7 +563,8 @@ def page_links(t) -> DataFrame:
 
 @query()
 def quote_spans(t) -> DataFrame:
-    d = t("documents").select("doc_id", "text", F.array(F.left("text", F.lit(40)), F.substring("text", 50, 30)).alias("quotes"))
+    middle = F.substring(F.col("text"), F.floor(F.length("text") / 2).cast("int") + 1, F.lit(40))
+    d = t("documents").select("doc_id", "text", F.array(F.left("text", F.lit(40)), F.substring("text", 50, 30), middle, F.right("text", F.lit(40))).alias("quotes"))
     found = d.withColumn("found", quotes.spans(F.col("text"), F.col("quotes")))
     first = F.get("found.spans", F.lit(0))
     return found.select("doc_id", "found.ok", F.to_json("found.spans").alias("spans"), quotes.evidence_position(F.col("text"), first).alias("position"))
