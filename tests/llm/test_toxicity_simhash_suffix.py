@@ -242,9 +242,11 @@ def repeats(rng):
 @pytest.mark.parametrize("crowded", [512, 1])
 def test_repeated_passages_equal_brute_force(spark, crowded):
     texts = repeats(random.Random(11))
+    common = words(random.Random(12), 20)
+    texts += [f"{words(random.Random(k), 3)} {common} {words(random.Random(k + 100), 3 + k % 2)}" for k in range(40)]  # many surroundings of one passage
     rows = [(i, t, "x") for i, t in enumerate(texts)] + [(1000, None, "x"), (None, texts[5], "x"), (7, texts[7], "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, spans string")
-    got = suffix_dedup.repeated_passages(df, length=60, anchor=16, crowded=crowded, piece=8).collect()
+    got = suffix_dedup.repeated_passages(df, length=60, anchor=16, crowded=crowded, pieces_of=(8, 4, 1)).collect()
     mine = sorted((str(r.doc_id), r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), hashlib.sha256(bytes(r.kept)).hexdigest()) for r in got)
     want = brute_cut([(t or "").encode() for _, t, _ in rows], 60)
     assert mine == sorted((str(i), *w) for (i, _, _), w in zip(rows, want))
@@ -256,6 +258,29 @@ def test_refine_in_one_group():
     assert [f.tolist() for f in flags] == [[True] * 10, [True] * 9 + [False], [False] + [True] * 9]
 
 
+@pytest.mark.parametrize("slice_", [7, 1 << 16])
+@pytest.mark.parametrize("seed", range(6))
+def test_refine_equals_brute_force(seed, slice_):
+    rng = random.Random(seed)
+    groups = []
+    for _ in range(rng.randrange(1, 5)):
+        base = bytes(rng.choice(b"ab\0") for _ in range(120)) if seed % 2 else b"ab" * 60
+        members = []
+        for _ in range(rng.randrange(1, 9)):
+            n, j0 = rng.randrange(1, 30), rng.randrange(30, 60)
+            raw = bytearray(base[60 - j0 : 60 - j0 + n + 30])  # lanes meet at offset 60 of base
+            for _ in range(rng.randrange(3)):
+                raw[rng.randrange(len(raw))] ^= 1
+            members.append((j0, n, bytes(raw)))
+        groups.append(members)
+    got = suffix_dedup.refine(groups, 31, slice_)
+    for members, flags in zip(groups, got):
+        strings = [[(j0 - s, raw[s : s + 31]) for s in range(n)] for j0, n, raw in members]
+        for i, own in enumerate(strings):
+            others = {x for k, other in enumerate(strings) if k != i for x in other}
+            assert flags[i].tolist() == [x in others for x in own]
+
+
 def test_no_passages(spark):
     df = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
     assert sorted((r.n_bytes, bytes(r.kept)) for r in suffix_dedup.repeated_passages(df).collect()) == [(0, b""), (1, b"a")]
