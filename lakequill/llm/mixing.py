@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from lakequill.llm.common import column, small_or_not, text_of, written
 
 WORD = r"[^\x20\x09-\x0D]+"
+LETTERS = r"[\p{L}\p{M}\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_EPOCHS = 3.0
 ROWS_A_SLICE = 1_000
@@ -29,15 +30,28 @@ def size_of(text: Column) -> Column:
 def quality_of(text: Column) -> Column:
     """A weight over 0 to 1 from the text alone: the squared share of letters and blanks, 0.01 at least."""
     n = F.length(text)
-    return F.greatest(F.lit(0.01), F.coalesce(F.pow((n - F.length(F.regexp_replace(text, r"[\p{L}\p{M}\s]+", ""))) / F.nullif(n, F.lit(0)), F.lit(2.0)), F.lit(0.01)))
+    share = (n - F.length(F.regexp_replace(text, LETTERS, ""))) / F.nullif(n, F.lit(0))
+    return F.greatest(F.lit(0.01), F.coalesce(share * share, F.lit(0.01)))
 
 
 def _with_keys(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
-    """docs with __size, __source, __slice01 (rises with the key, 0 to 1), __key and __tie."""
+    """docs with __size, __source, __key and __tie. The key's exponential variate comes from the first 52 bits of a digest of id and text, the tie from the rest."""
     text = text_of(column(docs, text_col))
-    bits = F.xxhash64(F.lit(seed), column(docs, id_col).cast("string"), text)
-    uniform = (F.shiftrightunsigned(bits, 11).cast("double") + 0.5) * F.lit(2.0**-53)
-    return docs.withColumns({"__size": size_of(column(docs, text_col)), "__source": column(docs, source_col).cast("string"), "__tie": F.xxhash64(F.lit(seed + 1), bits)}).withColumn("__key", -F.log(uniform) / quality_of(text))
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(column(docs, id_col).cast("string"), F.lit("")), text))
+    uniform = (F.conv(F.left(F.col("__tie"), F.lit(13)), 16, 10).cast("double") + 0.5) * F.lit(2.0**-52)
+    return docs.withColumns({"__size": size_of(column(docs, text_col)), "__source": column(docs, source_col).cast("string"), "__tie": digest}).withColumn("__key", -F.log(uniform) / quality_of(text))
+
+
+def _ranged(df: DataFrame, order: Sequence[Column], sums: Sequence[str], label: str) -> DataFrame:
+    """df with __place (from 0) and, for each column of sums, __before_<c>, in the order given. Ranges of rows are summed apart, so no task sees all rows."""
+    table = written(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), label)
+    ranges = table.groupBy("__range").agg(F.count(F.lit(1)).alias("__rows"), *(F.sum(c).alias(f"__of_{c}") for c in sums))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range: the number of shuffle partitions bounds them
+    starts = ranges.select(F.col("__range").alias("__r"), *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_start") for c in ("__rows", *(f"__of_{c}" for c in sums))))
+    inside = Window.partitionBy("__range").orderBy(*order)
+    run = inside.rowsBetween(Window.unboundedPreceding, -1)
+    placed = table.join(F.broadcast(starts), F.col("__range") == F.col("__r"))
+    return placed.select(*df.columns, (F.col("__rows_start") + F.row_number().over(inside) - 1).alias("__place"), *((F.col(f"__of_{c}_start") + F.coalesce(F.sum(c).over(run), F.lit(0))).alias(f"__before_{c}") for c in sums))
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST_EPOCHS) -> DataFrame:
@@ -47,18 +61,14 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most: f
     sizes; a target stops at `most` times its source's size and the excess goes to the others by weight until none is
     above. Filling by rising cap/weight gives that fixed point at once: the first k sources in this order are capped.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    fill = Window.orderBy("ratio", F.col("source").asc_nulls_last())
-    whole = fill.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    after = fill.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    before = fill.rowsBetween(Window.unboundedPreceding, -1)
-    w = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int"))
-    t = sizes.withColumn("w", w.cast("double")).withColumn("cap", F.col("source_size") * F.lit(most)).withColumn("ratio", F.col("cap") / F.col("w"))
-    total = F.sum("source_size").over(whole)
-    level = (total - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(after)  # if all before are capped
-    t = t.withColumn("level", level)
-    final = F.max(F.when(F.col("ratio") >= F.col("level"), F.col("level"))).over(whole)  # of the first source that isn't capped
-    return t.withColumn("target", F.least(F.col("cap"), F.coalesce(F.col("w") * final, F.col("cap")))).select("source", "n", "source_size", "target")
+    named = F.col("source").asc_nulls_last()
+    w = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.col("__place"), F.lit(len(weights))) + 1).cast("int"))
+    t = _ranged(sizes, [named], [], "mix-sources").withColumn("w", w.cast("double")).withColumn("cap", F.col("source_size") * F.lit(float(most)))
+    t = _ranged(t.drop("__place").withColumn("ratio", F.col("cap") / F.col("w")), [F.col("ratio"), named], ["cap", "w"], "mix-levels")
+    total, heavy = t.agg(F.sum("source_size"), F.sum("w")).first()
+    t = t.withColumn("level", (F.lit(float(total or 0)) - F.col("__before_cap")) / (F.lit(heavy or 0.0) - F.col("__before_w")))  # if all before are capped
+    final = t.agg(F.max(F.when(F.col("ratio") >= F.col("level"), F.col("level")))).first()[0]  # of the first source that isn't capped
+    return t.withColumn("target", F.least(F.col("cap"), F.coalesce(F.col("w") * F.lit(final).cast("double"), F.col("cap")))).select("source", "n", "source_size", "target")
 
 
 def _plan(keyed: DataFrame, weights: Sequence[float], most: float, split: bool) -> tuple[DataFrame, int]:
@@ -67,8 +77,10 @@ def _plan(keyed: DataFrame, weights: Sequence[float], most: float, split: bool)
     sizes = narrow.groupBy(F.col("__source").alias("source")).agg(F.count(F.lit(1)).alias("n"), F.sum("__size").alias("source_size"))
     targets = written(source_targets(sizes, weights, most), "mix-targets")
     many = targets.count()
-    targets = targets.withColumn("epochs", F.coalesce(F.floor(F.col("target") / F.nullif(F.col("source_size"), F.lit(0))), F.lit(0)).cast("long"))
-    targets = targets.withColumn("budget", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
+    # The rounded target in whole epochs and a rest that is below the source's size, so the rest always ends inside the source.
+    goal = F.round(F.col("target")).cast("long")
+    targets = targets.withColumn("epochs", F.coalesce(F.floor(goal / F.nullif(F.col("source_size"), F.lit(0))), F.lit(0)).cast("long"))
+    targets = targets.withColumn("budget", goal - F.col("epochs") * F.col("source_size"))
     # Slices of the key range, in a form between 0 and 1 that rises with the key; their number follows the source's rows.
     slices = F.greatest(F.lit(1), F.ceil(F.col("n") / ROWS_A_SLICE))
     sliced = (

@@ -110,4 +110,21 @@ ORACLE: dict[str, str] = {
         best AS (SELECT page_id, max_by(h || p, length(h || p)) AS rule, max_by(v, length(h || p)) AS verdict
                  FROM u JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
         SELECT u.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM u LEFT JOIN best USING (page_id)""",
+    "op8_mixing": r"""
+        WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+        e AS (SELECT doc_id, source, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS size, md5('8|' || doc_id || '|' || t) AS tie, length(t) AS n,
+                     (length(t) - length(regexp_replace(t, '[\p{L}\p{M}\x20\x09-\x0D]+', '', 'g')))::DOUBLE AS letters FROM d),
+        k AS (SELECT *, -ln((('0x' || substr(tie, 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE)
+                        / greatest(0.01::DOUBLE, CASE WHEN n = 0 THEN 0.01::DOUBLE ELSE (letters / n) * (letters / n) END) AS key FROM e),
+        s AS (SELECT source, sum(size)::BIGINT AS source_size FROM k GROUP BY source),
+        w AS (SELECT *, source_size * 3::DOUBLE AS cap, ([5.0, 2.0, 1.0]::DOUBLE[])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM s),
+        v AS (SELECT *, ((sum(source_size) OVER ())::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                        / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+        f AS (SELECT max(level) AS final FROM v WHERE cap / w >= level),
+        t AS (SELECT source, source_size, least(cap, coalesce(w * final, cap)) AS target FROM v CROSS JOIN f),
+        b AS (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE round(target)::BIGINT // source_size END AS epochs FROM t),
+        o AS (SELECT k.doc_id, k.size, b.source_size, b.target, b.epochs, round(b.target)::BIGINT - b.epochs * b.source_size AS budget,
+                     coalesce(sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key, k.tie, k.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used
+              FROM k JOIN b ON k.source IS NOT DISTINCT FROM b.source)
+        SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, budget - used)))::BIGINT AS taken FROM o""",
 }

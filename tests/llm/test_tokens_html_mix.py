@@ -140,6 +140,59 @@ def test_mix_meets_targets(spark, monkeypatch):
     assert sorted(map(str, got)) == sorted(map(str, again))
 
 
+def brute_mix(rows, seed=8):
+    """Words taken of each row: targets reshared step by step, then a sort of each source by its keys."""
+    import hashlib
+    import math
+    import unicodedata
+
+    size = lambda t: len((t or "").encode().split())
+    sizes: dict = {}
+    for _, t, s, _ in rows:
+        sizes[s] = sizes.get(s, 0) + size(t)
+    targets = filled(sizes)
+
+    def order(row):
+        doc_id, t, _, _ = row
+        t = t or ""
+        tie = hashlib.md5(f"{seed}|{'' if doc_id is None else doc_id}|{t}".encode()).hexdigest()
+        share = sum(unicodedata.category(c)[0] in "LM" or c in " \t\n\x0b\f\r" for c in t) / len(t) if t else 0.1
+        return -math.log((int(tie[:13], 16) + 0.5) / 2**52) / max(0.01, share * share), tie, size(t)
+
+    taken = {}
+    for s in sizes:
+        goal = math.floor(targets[s] + 0.5)
+        epochs = goal // sizes[s] if sizes[s] else 0
+        left = goal - epochs * sizes[s]
+        for row in sorted((r for r in rows if r[2] == s), key=order):
+            part = min(left, size(row[1]))
+            taken[row] = epochs * size(row[1]) + part
+            left -= part
+    return taken, targets, sizes
+
+
+def test_rest_that_rounds_to_a_whole_source(spark):
+    rows = [(100 * k + i, f"w{i}", s, 1) for k, (s, n) in enumerate({"a": 20, "b": 10, "c": 9}.items()) for i in range(n)]
+    got = mixed(spark, rows).collect()
+    taken = {s: sum(r["__taken"] for r in got if r.source == s) for s in "abc"}
+    assert {r.source: r["__target"] for r in got}["b"] == 9.75 and taken["b"] == 10
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_mix_equals_brute_force(spark, monkeypatch, seed):
+    monkeypatch.setattr(mixing, "ROWS_A_SLICE", 4)
+    rng = random.Random(seed)
+    names = rng.sample(["a", "B", "é", "z", "y", None, "ä"], rng.randrange(1, 8))
+    rows = [(i, " ".join(rng.choice(["w", "w2", "é!", "3-4"]) for _ in range(rng.randrange(0, 1 + 3 ** rng.randrange(4)))), s, 1) for i, s in enumerate(rng.choices(names, [3.0**k for k in range(len(names))], k=rng.randrange(1, 80)))]
+    taken, targets, sizes = brute_mix(rows)
+    got = mixed(spark, rows).collect()
+    assert {(r.doc_id, r.text, r.source, 1): r["__taken"] for r in got} == taken
+    for s, size in sizes.items():
+        assert abs(sum(n for r, n in taken.items() if r[2] == s) - targets[s]) <= 1
+    for r in got:
+        assert r["__target"] == pytest.approx(targets[r.source]) and r["__source_size"] == sizes[r.source]
+
+
 def test_mix_takes_whole_epochs_first(spark):
     rows = [(i, "w " * 10, s, 1) for i, s in enumerate(["a"] * 20 + ["b"] * 40 + ["c"] * 20)]
     got = mixed(spark, rows).collect()
