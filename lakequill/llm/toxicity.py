@@ -1,18 +1,18 @@
 """Toxicity by the nearest labelled examples.
 
-A bounded, hashed sample of labelled texts is kept as TF-IDF vectors over the words and word beginnings that tell the
-labels apart; document frequencies are those of all documents. A text's neighbours are found by exact cosine in an
-inverted index cut into blocks with maxima: blocks are opened by falling upper bound until no other can hold a
-neighbour. Distance-weighted votes are calibrated on the sample itself, each example left out of its own vote.
+A bounded, hashed sample of labelled texts is kept as TF-IDF vectors over all their words; document frequencies are those
+of all documents. A text's neighbours are found by exact cosine in an inverted index whose long lists are cut into
+blocks of alike examples, each with its largest weight: the short lists are added up in full, the bound of a block is
+the best such sum in it and what its maxima allow besides, and only blocks whose bound reaches the k-th best similarity
+are opened. Distance-weighted votes are calibrated on the sample itself, each example left out of its own vote.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter, OrderedDict
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -21,168 +21,167 @@ from pyspark.sql import functions as F
 
 from lakequill.llm.common import column, small_or_not, text_of, written
 
-#: Bounds of the fitted model: labelled rows that are learnt from, and terms that are told apart.
+#: Bound of the fitted model: labelled rows that are learnt from. All their words count.
 MOST_EXAMPLES = 6_000
-MOST_TERMS = 2_048
-BEGINNINGS = (4, 5, 6, 7)
-LEAST_TEXTS = 4
-LEAST_ODDS = 4.0
-FALSE_SHARE = 0.25
-NEIGHBOURS = 15
-BLOCK = 32
-#: Weight of the dimension that all texts share: it makes the cosine heed how much of a text is telling, not only what.
-COMMON = 3.0
-SHARPNESS = 4.0
+#: Voters: this share of the examples, and so many at least.
+VOTERS_SHARE = 0.05
+LEAST_VOTERS = 15
+BLOCK = 64
+#: A list is long, and so cut into blocks with maxima, if more than one in so many examples stands in it.
+LONG_LIST = 16
+#: Texts that are looked up together.
+TOGETHER = 256
+SHOWN = 5
 _WORD = re.compile(r"[^\W\d_]+")
-_MEMO = 20_000
-VECTORS = "id long, text_hash long, idx array<int>, tf array<int>"
-
-
-def term_counts(text: str) -> Counter:
-    """Words and beginnings of longer words (marked by a star), A to Z and other letters lower-cased."""
-    out: Counter = Counter()
-    for word, n in Counter(_WORD.findall(text.lower())).items():
-        out[word] += n
-        for k in BEGINNINGS:
-            if len(word) > k:
-                out[word[:k] + "*"] += n
-    return out
-
-
-def told_apart(counts: list[tuple[str, int, int]], toxic: int, clean: int, most: int) -> list[str]:
-    """Of (term, toxic texts, clean texts), the terms that change the odds and whose chi-square is beyond chance, the largest first, those of toxic texts first on ties."""
-    n = toxic + clean
-    scored = []
-    for term, a, b in counts:
-        if a + b < LEAST_TEXTS:
-            continue
-        c, d = toxic - a, clean - b
-        odds = (a + 0.5) * (d + 0.5) / ((b + 0.5) * (c + 0.5))
-        if 1 / LEAST_ODDS < odds < LEAST_ODDS:
-            continue  # words of a language whose share is a bit larger don't tell
-        below = (a + b) * (c + d) * toxic * clean
-        chi = n * (a * d - b * c) ** 2 / below if below else 0.0
-        scored.append((math.erfc(math.sqrt(chi / 2)), -chi, -a, term))  # the chance of this much, one degree of freedom
-    scored.sort()
-    # Benjamini-Hochberg over all terms tested: so many that this share of them is expected to be there by chance.
-    last = max((i for i, s in enumerate(scored, 1) if s[0] <= FALSE_SHARE * i / max(1, len(counts))), default=0)
-    return [s[3] for s in scored[: min(last, most)]]
-
-
-class Neighbour(NamedTuple):
-    similarity: float
-    texts: int
-    toxic: int
-    example: int
+
+
+def word_counts(text: str) -> Counter:
+    """Words of letters, lower-cased."""
+    return Counter(_WORD.findall(text.lower()))
+
+
+class Rows:
+    """Sparse rows: terms and weights of row i are those from ends[i] to ends[i + 1]."""
+
+    def __init__(self, ends: np.ndarray, terms: np.ndarray, weights: np.ndarray):
+        self.ends, self.terms, self.weights = ends, terms, weights
+
+    def __len__(self) -> int:
+        return len(self.ends) - 1
+
+    def part(self, low: int, high: int) -> Rows:
+        a, b = self.ends[low], self.ends[high]
+        return Rows(self.ends[low : high + 1] - a, self.terms[a:b], self.weights[a:b])
+
+    def of(self) -> np.ndarray:
+        """The row of each entry."""
+        return np.repeat(np.arange(len(self)), np.diff(self.ends))
+
+
+def unit_rows(ends: np.ndarray, terms: np.ndarray, tf: np.ndarray, idf: np.ndarray) -> Rows:
+    """TF-IDF vectors of length 1, the term frequency as 1 + ln(tf); a row without terms stays empty."""
+    weights = (1 + np.log(tf)) * idf[terms]
+    rows = Rows(ends, terms, weights)
+    of = rows.of()
+    norm = np.sqrt(np.bincount(of, weights * weights, minlength=len(rows)))
+    rows.weights = weights / norm[of]
+    return rows
+
+
+def alike(dense: np.ndarray, rows: np.ndarray, block: int) -> list[int]:
+    """rows in an order that puts alike ones side by side: halves along the main direction, and so on down to a block."""
+    if len(rows) <= block:
+        return rows.tolist()
+    part = dense[rows] - dense[rows].mean(axis=0)
+    direction = part[np.argmax((part * part).sum(axis=1))]
+    for _ in range(4):
+        direction = (part @ direction) @ part
+        size = math.sqrt(float(direction @ direction))
+        if not size:
+            break
+        direction = direction / size
+    order = rows[np.argsort(np.round(part @ direction, 9), kind="stable")]
+    half = block * (-(-len(rows) // block) // 2) or block
+    return alike(dense, order[:half], block) + alike(dense, order[half:], block)
 
 
 class BlockMaxIndex:
-    """Unit vectors in an inverted index whose lists are cut into blocks of vectors, each with its largest weight."""
-
-    def __init__(self, vectors: Sequence[tuple[np.ndarray, np.ndarray]], texts: Sequence[int], toxic: Sequence[int], ids: Sequence[int], block: int = BLOCK):
-        order = sorted(range(len(vectors)), key=lambda i: (int(vectors[i][0][np.argmax(vectors[i][1])]) if len(vectors[i][0]) else -1, len(vectors[i][0])))
-        self.texts, self.toxic, self.ids = (np.array([x[i] for i in order], np.int64) for x in (texts, toxic, ids))
-        self.place = {i: k for k, i in enumerate(order)}
-        self.block, self.blocks = block, -(-len(order) // block) if order else 0
-        lists: dict[int, dict[int, tuple[list[int], list[float]]]] = {}
-        for k, i in enumerate(order):
-            for t, w in zip(vectors[i][0].tolist(), vectors[i][1].tolist()):
-                offsets, weights = lists.setdefault(t, {}).setdefault(k // block, ([], []))
-                offsets.append(k % block)
-                weights.append(w)
-        self.bounds = {t: (np.array(list(by)), np.array([max(w) for _, w in by.values()])) for t, by in lists.items()}
-        # A block holds its part of each list as a row; where[term, block] is that row.
-        self.where = np.full((max(lists, default=0) + 1, self.blocks), -1, np.int16)
-        rows = [0] * self.blocks
-        for t, by in lists.items():
-            for b in by:
-                self.where[t, b] = rows[b]
-                rows[b] += 1
-        self.parts = [np.zeros((n, min(block, len(order) - b * block))) for b, n in enumerate(rows)]
-        for t, by in lists.items():
-            for b, (offsets, weights) in by.items():
-                self.parts[b][self.where[t, b], offsets] = weights
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> list[Neighbour]:
-        """The most similar vectors until they stand for k texts, ties with the last included; exact. without: a vector that counts one text less."""
-        bound = np.zeros(self.blocks)
-        use = np.fromiter((t in self.bounds for t in terms.tolist()), bool, len(terms))
-        terms, weights = terms[use], weights[use]
-        for t, w in zip(terms.tolist(), weights.tolist()):
-            at, most = self.bounds[t]
-            bound[at] += w * most
-        order = np.argsort(-bound, kind="stable")
-        held = self.texts
-        if without >= 0:
-            held = held.copy()
-            held[self.place[without]] -= 1
-        got_sim, got_at, floor, step = np.empty(0), np.empty(0, np.int64), -1.0, 2
-        low = 0
-        while low < len(order) and bound[order[low]] >= floor - 1e-9:
-            sims = [got_sim]
-            ats = [got_at]
-            for b in order[low : low + step].tolist():
-                row = self.where[terms, b]
-                here = row >= 0
-                sim = weights[here] @ self.parts[b][row[here]]
-                use = np.flatnonzero((held[b * self.block : b * self.block + len(sim)] > 0) & (sim >= floor - 1e-9))
-                sims.append(sim[use])
-                ats.append(use + b * self.block)
-            low += step
-            step = min(16, 2 * step)
-            got_sim, got_at = np.concatenate(sims), np.concatenate(ats)
-            rank = np.lexsort((got_at, -got_sim))
-            got_sim, got_at = got_sim[rank], got_at[rank]
-            reach = int(np.searchsorted(np.cumsum(held[got_at]), k))
-            if reach < len(got_sim):
-                floor = float(got_sim[reach])
-                keep = got_sim >= floor - 1e-9
-                got_sim, got_at = got_sim[keep], got_at[keep]
-        return [Neighbour(s, n, y, i) for s, n, y, i in zip(got_sim.tolist(), held[got_at].tolist(), self.toxic[got_at].tolist(), self.ids[got_at].tolist())]
-
-
-def votes(near: list[Neighbour]) -> float:
-    """Distance-weighted share of toxic texts among the neighbours."""
-    weight = [n.similarity**SHARPNESS + 1e-9 for n in near]
-    total = sum(w * n.texts for w, n in zip(weight, near))
-    return sum(w * n.toxic for w, n in zip(weight, near)) / total if total else 0.0
+    """Unit vectors by term. Lists of many vectors are dense rows cut into blocks with their maxima, the others pairs of vector and weight."""
+
+    def __init__(self, vectors: Rows, terms: int, block: int = BLOCK, long_list: int = LONG_LIST):
+        n = len(vectors)
+        held = np.bincount(vectors.terms, minlength=terms)
+        self.n, self.block, self.blocks = n, block, -(-n // block)
+        self.long = np.full(terms, -1, np.int64)  # the row of a long list
+        often = np.flatnonzero(held > max(1, n // long_list))
+        self.long[often] = np.arange(len(often))
+        of, at = vectors.of(), self.long[vectors.terms]
+        dense = np.zeros((n, len(often)))
+        dense[of[at >= 0], at[at >= 0]] = vectors.weights[at >= 0]
+        self.order = np.array(alike(dense, np.arange(n), block), np.int64)  # the vector at each place
+        place = np.empty(n, np.int64)
+        place[self.order] = np.arange(n)
+        self.place = place
+        lists = np.zeros((len(often), self.blocks * block))
+        lists[:, :n] = dense[self.order].T
+        self.most = lists.reshape(len(often), self.blocks, block).max(axis=2)
+        # Of each block the lists that stand in it, and their part.
+        self.there = [np.flatnonzero(self.most[:, b]) for b in range(self.blocks)]
+        self.parts = [np.ascontiguousarray(lists[at, b * block : (b + 1) * block]) for b, at in enumerate(self.there)]
+        few = np.flatnonzero(at < 0)
+        few = few[np.argsort(vectors.terms[few], kind="stable")]
+        self.few_place, self.few_weight = place[of[few]], vectors.weights[few]
+        self.few_ends = np.concatenate([[0], np.cumsum(np.bincount(vectors.terms[few], minlength=terms))])
+
+    def similarities(self, asked: Rows, k: int, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """For each asked row the similarity to the vector at each place, -1 where it can't be among the k nearest, and the k-th largest.
+
+        without: a place for each row that is no neighbour of it. Blocks are opened by their bounds; what isn't opened is below the k-th.
+        """
+        rows, width = len(asked), self.blocks * self.block
+        of, at = asked.of(), self.long[asked.terms]
+        known = np.zeros((rows, len(self.most)))
+        known[of[at >= 0], at[at >= 0]] = asked.weights[at >= 0]
+        few = at < 0
+        low, count = self.few_ends[asked.terms[few]], np.diff(self.few_ends)[asked.terms[few]]
+        entry = np.repeat(low - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(int(count.sum()))
+        sums = np.bincount(np.repeat(of[few], count) * width + self.few_place[entry], np.repeat(asked.weights[few], count) * self.few_weight[entry], minlength=rows * width)
+        sums = sums[: rows * width].reshape(rows, width)
+        sums[:, self.n :] = -2.0
+        if without is not None:
+            sums[np.arange(rows), without] = -2.0
+        bound = sums.reshape(rows, self.blocks, self.block).max(axis=2) + known @ self.most
+        out = np.full((rows, width), -1.0)
+        k = min(k, self.n - (without is not None))
+        if k < 1:
+            return out, np.full(rows, np.inf)
+        opened = np.zeros((rows, self.blocks), bool)
+        first = min(self.blocks, -(-k // self.block) + 1)
+        np.put_along_axis(opened, np.argpartition(-bound, first - 1, axis=1)[:, :first], True, axis=1)
+        self._open(opened, known, sums, out)
+        kth = np.partition(out, width - k, axis=1)[:, width - k]
+        more = (bound >= kth[:, None] - 1e-9) & ~opened
+        self._open(more, known, sums, out)
+        return out, np.partition(out, width - k, axis=1)[:, width - k]
+
+    def _open(self, which: np.ndarray, known: np.ndarray, sums: np.ndarray, out: np.ndarray) -> None:
+        for b in np.flatnonzero(which.any(axis=0)).tolist():
+            rows, own = np.flatnonzero(which[:, b]), slice(b * self.block, (b + 1) * self.block)
+            out[rows, own] = np.maximum(-1.0, sums[rows, own] + known[rows[:, None], self.there[b]] @ self.parts[b])
+
+
+def votes(similarity: np.ndarray, kth: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Similarity-weighted share of toxic examples among the nearest, ties with the last included; 0 without neighbours."""
+    weight = np.where(similarity >= np.maximum(kth, 0.0)[:, None] - 1e-9, np.maximum(similarity, 0.0) + 1e-9, 0.0)
+    total = weight.sum(axis=1)
+    return np.divide((weight @ toxic), total, out=np.zeros(len(total)), where=total > 0)
 
 
 class Model:
-    """Terms, their weights, the index and the calibration; small enough to travel with the tasks."""
-
-    def __init__(self, terms: list[str], idf: np.ndarray, examples: list[tuple[int, list[int], list[int], int]]):
-        self.terms, self.idf = terms, idf
-        grouped: OrderedDict[tuple, list[int]] = OrderedDict()
-        for doc_id, idx, tf, label in sorted(examples):
-            row = grouped.setdefault((tuple(idx), tuple(tf)), [0, 0, doc_id])
-            row[0] += 1
-            row[1] += label
-        self.keys = list(grouped)
-        rows = list(grouped.values())
-        vectors = [self.vector(*k) for k in self.keys]
-        self.index = BlockMaxIndex(vectors, [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows])
-        self.slope, self.shift = 1.0, 0.0
-        raw, label, weight = [], [], []
-        for i, (texts, toxic, _) in enumerate(rows):
-            near = self.index.nearest(*vectors[i], without=i)
-            for y, n in ((1, toxic), (0, texts - toxic)):
-                if n:
-                    raw.append(votes([x._replace(toxic=x.toxic - y) if x.example == rows[i][2] else x for x in near]))
-                    label.append(y)
-                    weight.append(n)
-        self.slope, self.shift = platt(np.array(raw), np.array(label), np.array(weight))
-
-    def vector(self, idx: Sequence[int], tf: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
-        """Unit TF-IDF vector with the common dimension first."""
-        terms = np.concatenate([[0], np.asarray(idx, np.int64) + 1]).astype(np.int64)
-        w = np.concatenate([[COMMON], (1 + np.log(np.maximum(np.asarray(tf, float), 1))) * self.idf[np.asarray(idx, np.int64)]])
-        return terms, w / math.sqrt(float(w @ w))
-
-    def score(self, idx: Sequence[int], tf: Sequence[int]) -> tuple[float, list[Neighbour]]:
-        near = self.index.nearest(*self.vector(idx, tf))
-        z = self.slope * votes(near) + self.shift
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), near
+    """Words, their weights, the index and the calibration; small enough to travel with the tasks."""
+
+    def __init__(self, words: list[str], idf: np.ndarray, examples: Rows, names: list[str], toxic: np.ndarray, share: float = VOTERS_SHARE, least: int = LEAST_VOTERS):
+        """examples: rows of term counts."""
+        self.words, self.idf = words, idf
+        vectors = unit_rows(examples.ends, examples.terms, examples.weights, idf)
+        self.k = max(least, round(share * len(vectors)))
+        self.index = BlockMaxIndex(vectors, len(words))
+        self.names = [names[i] for i in self.index.order]
+        self.toxic = np.zeros(self.index.blocks * self.index.block)
+        self.toxic[: len(vectors)] = toxic[self.index.order]
+        raw = [votes(*self.index.similarities(vectors.part(i, min(i + TOGETHER, len(vectors))), self.k, self.index.place[i : i + TOGETHER]), self.toxic) for i in range(0, len(vectors), TOGETHER)]
+        self.slope, self.shift = platt(np.concatenate(raw) if raw else np.empty(0), toxic, np.ones(len(toxic)))
+
+    def score(self, asked: Rows) -> tuple[np.ndarray, list[list[str]]]:
+        """Scores of rows of term counts and the names of the nearest examples."""
+        vectors = unit_rows(asked.ends, asked.terms, asked.weights, self.idf)
+        similarity, kth = self.index.similarities(vectors, self.k)
+        z = np.clip(self.slope * votes(similarity, kth, self.toxic) + self.shift, -30, 30)
+        shown = min(SHOWN, self.index.n)
+        near = np.argpartition(-similarity, shown - 1, axis=1)[:, :shown] if shown else np.empty((len(z), 0), int)
+        rank = np.lexsort((near, -np.take_along_axis(similarity, near, axis=1)), axis=1) if shown else near
+        names = [[self.names[j] for j in row if s[j] > 0] for row, s in zip(np.take_along_axis(near, rank, axis=1).tolist(), similarity)]
+        return np.round(1 / (1 + np.exp(-z)), 9), names
 
 
 def platt(raw: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -203,102 +202,114 @@ def platt(raw: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[float
     return max(0.0, float(beta[0])), float(beta[1])
 
 
-def _vectors(terms: list[str]) -> Callable:
-    """Texts to the positions and counts of the model's terms."""
+def _vectors(words: list[str]) -> Callable:
+    """Texts to the positions and counts of the model's words."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = {t: i for i, t in enumerate(terms)}
-        known: dict[str, tuple[int, ...]] = {}
+        at = {w: i for i, w in enumerate(words)}
         for got in source:
-            idx_col, tf_col = [], []
+            ends, terms, counts = [0], [], []
             for text in got.column(1).to_pylist():
-                found: Counter = Counter()
-                for word in _WORD.findall((text or "").lower()):
-                    hits = known.get(word)
-                    if hits is None:
-                        if len(known) > 200_000:
-                            known.clear()
-                        hits = known[word] = tuple(at[t] for t in (word, *(word[:k] + "*" for k in BEGINNINGS if len(word) > k)) if t in at)
-                    for i in hits:
-                        found[i] += 1
-                idx_col.append(sorted(found))
-                tf_col.append([found[i] for i in idx_col[-1]])
-            yield pa.RecordBatch.from_arrays([got.column(0), got.column(2), pa.array(idx_col, pa.list_(pa.int32())), pa.array(tf_col, pa.list_(pa.int32()))], ["id", "text_hash", "idx", "tf"])
+                for word, n in word_counts(text or "").items():
+                    if (i := at.get(word)) is not None:
+                        terms.append(i)
+                        counts.append(n)
+                ends.append(len(terms))
+            lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, pa.int32())) for x in (terms, counts)]
+            yield pa.RecordBatch.from_arrays([got.column(0), got.column(2), *lists], ["id", "text_hash", "idx", "tf"])
 
     return run
 
 
-def _example_terms(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for got in source:
-        for text, label in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True):
-            terms = list(term_counts(text or ""))
-            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([label] * len(terms), pa.int32())], ["term", "toxic"])
+def _frequencies(terms: int) -> Callable:
+    """Rows of positions to how many rows hold each, a sum for each partition."""
 
-
-def _scores(model: Model) -> Callable:
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[tuple, tuple] = {}
+        held = np.zeros(terms, np.int64)
         for got in source:
-            out = []
-            for idx, tf in zip(got.column(2).to_pylist(), got.column(3).to_pylist(), strict=True):
-                key = (tuple(idx), tuple(tf))
-                if key not in memo:
-                    if len(memo) > _MEMO:
-                        memo.clear()
-                    score, near = model.score(idx, tf)
-                    shown = sorted(range(len(idx)), key=lambda i: -(1 + math.log(tf[i])) * model.idf[idx[i]])[:5]
-                    memo[key] = (score, [model.terms[idx[i]] for i in shown], [n.example for n in near[:5]])
-                out.append(memo[key])
-            score, terms, near = zip(*out, strict=True) if out else ([], [], [])
-            yield pa.RecordBatch.from_arrays([got.column(0), got.column(1), pa.array(score, pa.float64()), pa.array(terms, pa.list_(pa.string())), pa.array(near, pa.list_(pa.int64()))], ["id", "text_hash", "score", "evidence_terms", "evidence_examples"])
+            held += np.bincount(got.column(0).flatten().to_numpy(zero_copy_only=False), minlength=terms)
+        at = np.flatnonzero(held)
+        for low in range(0, len(at), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(at[low : low + 50_000], pa.int32()), pa.array(held[at[low : low + 50_000]])], ["t", "n"])
 
     return run
 
 
-def fit(vectors_of: Callable[[list[str]], DataFrame], sample: DataFrame, terms: list[str]) -> tuple[Model, DataFrame]:
-    """The model of the sampled (id, text, toxic) rows, and all documents' (id, idx, tf) as a written table."""
-    table = written(vectors_of(terms), "toxicity-vectors")
-    df = dict(table.select(F.explode("idx").alias("t")).groupBy("t").count().collect()) if terms else {}  # MOST_TERMS rows at most
-    n = table.count()
-    idf = np.array([math.log((1 + n) / (1 + df.get(i, 0))) + 1 for i in range(len(terms))])
-    labelled = sample.select("id", "text", F.lit(0).cast("long").alias("text_hash")).mapInArrow(_vectors(terms), VECTORS)
-    labels = {r["id"]: r["toxic"] for r in sample.select("id", "toxic").collect()}
-    return Model(terms, idf, [(r["id"], r["idx"], r["tf"], labels[r["id"]]) for r in labelled.collect()]), table
+def _example_words(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for got in source:
+        counts = [word_counts(t or "") for t in got.column(2).to_pylist()]
+        columns = [pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))]
+        yield pa.RecordBatch.from_arrays([got.column(0), got.column(1), *columns], ["id", "toxic", "words", "tf"])
+
+
+def _rows(got: pa.RecordBatch) -> Rows:
+    """The columns idx and tf as rows of counts."""
+    idx, tf = got.column(2), got.column(3)
+    ends = np.concatenate([[0], np.cumsum(np.diff(idx.offsets.to_numpy()))]) if len(idx) else np.zeros(1, np.int64)
+    return Rows(ends.astype(np.int64), idx.flatten().to_numpy(zero_copy_only=False).astype(np.int64), tf.flatten().to_numpy(zero_copy_only=False).astype(np.float64))
+
+
+def _scores(model: Model) -> Callable:
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in source:
+            for low in range(0, whole.num_rows, TOGETHER):
+                got = whole.slice(low, TOGETHER)
+                rows = _rows(got)
+                score, near = model.score(rows)
+                weights = (1 + np.log(rows.weights)) * model.idf[rows.terms]
+                heavy = []
+                for a, b in zip(rows.ends[:-1].tolist(), rows.ends[1:].tolist()):
+                    own = np.lexsort((rows.terms[a:b], -weights[a:b]))[:SHOWN]
+                    heavy.append([model.words[t] for t in rows.terms[a:b][own].tolist()])
+                yield pa.RecordBatch.from_arrays([got.column(0), got.column(1), pa.array(score), pa.array(heavy, pa.list_(pa.string())), pa.array(near, pa.list_(pa.string()))], ["id", "text_hash", "score", "evidence_terms", "evidence_examples"])
+
+    return run
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, most: int = MOST_EXAMPLES) -> DataFrame:
-    """(id, text, toxic) of at most `most` labelled documents, by a hash of the id; never one whose crc32 mod 5 is 0. One row for an id, toxic if any label or copy says so."""
-    usable = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id is not null and toxic is not null").where(F.crc32(F.col("id").cast("string")) % 5 != 0)
+    """(id, toxic, text), ids as text, of at most `most` labelled documents, by a hash of the id; never one whose crc32 mod 5 is 0. One row for an id: toxic if any label says so, the first of its texts in their order."""
+    usable = labels.select(F.col("doc_id").cast("string").alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id is not null and toxic is not null").where(F.crc32("id") % 5 != 0)
     picked = usable.groupBy("id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(most)
-    found = docs.join(F.broadcast(picked.withColumnRenamed("id", "__id")), F.col("id") == F.col("__id")).select("id", "text", "toxic")
-    return written(found.dropDuplicates(["id"]), "toxicity-examples")
+    found = docs.select(F.col("id").cast("string").alias("id"), "text").join(F.broadcast(picked.withColumnRenamed("id", "__id")), F.col("id") == F.col("__id"))
+    return written(found.groupBy("id", "toxic").agg(F.min("text").alias("text")), "toxicity-examples")
+
+
+def fit(sample: DataFrame, vectors_of: Callable[[list[str]], DataFrame]) -> tuple[Model, DataFrame]:
+    """The model of the sampled (id, toxic, text) rows, and all documents' (id, text_hash, idx, tf) as a written table."""
+    examples = sorted(sample.mapInArrow(_example_words, "id string, toxic int, words array<string>, tf array<int>").collect())
+    words = sorted({w for e in examples for w in e["words"]})
+    table = written(vectors_of(words), "toxicity-vectors")
+    idf = np.full(len(words), math.log(1 + table.count()) + 1)
+    held = table.select("idx").mapInArrow(_frequencies(len(words)), "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).toPandas()  # a row for each word of the sample at most
+    idf[held["t"].to_numpy(np.int64)] -= np.log(1 + held["n"].to_numpy(np.float64))
+    at = {w: i for i, w in enumerate(words)}
+    terms = np.array([at[w] for e in examples for w in e["words"]], np.int64)
+    rows = Rows(np.concatenate([[0], np.cumsum([len(e["tf"]) for e in examples])]).astype(np.int64), terms, np.array([n for e in examples for n in e["tf"]], np.float64))
+    return Model(words, idf, rows, [e["id"] for e in examples], np.array([float(e["toxic"] > 0) for e in examples])), table
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_examples: int = MOST_EXAMPLES, most_terms: int = MOST_TERMS) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_examples: int = MOST_EXAMPLES) -> DataFrame:
     """One row for each row of docs: id, held_out, score, predicted, evidence_terms, evidence_examples, text_hash.
 
     labels: (doc_id, toxic); null ids or labels are left out, contradicting ones count as toxic. held_out: crc32 of the
-    id as text mod 5 is 0; such rows, and those with a null id (held_out false), teach nothing. A null or empty text, or
-    one without telling terms, gets the score of the examples without any. Without labels all scores are 0.5 and, as
-    there is nothing to reject by, predicted is 0. An empty table gives an empty result.
+    id as text mod 5 is 0; such rows, and those with a null id (held_out false), teach nothing. Ids may be of any type
+    that has a text form. A null or empty text, or one without a word of the examples, has no neighbours and gets the
+    score of no toxic votes. Without labels all scores are 0.5 and, as there is nothing to reject by, predicted is 0. An
+    empty table gives an empty result. evidence_terms: the text's heaviest words; evidence_examples: ids of its nearest.
     """
-    base = docs.select(column(docs, id_col).cast("long").alias("id"), text_of(column(docs, text_col)).alias("text"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    base = docs.select(column(docs, id_col).alias("id"), text_of(column(docs, text_col)).alias("text"))
     sample = training_sample(base, labels, most_examples)
-    sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
-    toxic = sum(n for y, n in sizes.items() if y)
-    counts = sample.select("text", "toxic").mapInArrow(_example_terms, "term string, toxic int").groupBy("term").agg(F.sum("toxic").alias("a"), F.count(F.lit(1)).alias("n"))
-    counts = [(r["term"], r["a"], r["n"] - r["a"]) for r in counts.where(f"n >= {LEAST_TEXTS}").collect()] if toxic else []
-    terms = told_apart(counts, toxic, sum(sizes.values()) - toxic, most_terms)
-    model, table = fit(lambda t: base.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_vectors(t), VECTORS), sample, terms)
-    scored = table.mapInArrow(_scores(model), "id long, text_hash long, score double, evidence_terms array<string>, evidence_examples array<long>")
+    model, table = fit(sample, lambda words: base.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_vectors(words), f"id {kind}, text_hash long, idx array<int>, tf array<int>"))
+    scored = table.mapInArrow(_scores(model), f"id {kind}, text_hash long, score double, evidence_terms array<string>, evidence_examples array<string>")
     held_out = F.coalesce(F.crc32(F.col("id").cast("string")) % 5 == 0, F.lit(False))
-    predicted = (F.col("score") >= 0.5).cast("int") if sizes else F.lit(0)
-    return scored.select(F.col("id").alias(id_col), held_out.alias("held_out"), "score", predicted.alias("predicted"), "evidence_terms", "evidence_examples", "text_hash")
+    predicted = (F.col("score") >= 0.5).cast("int") if model.index.n else F.lit(0)
+    return scored.select(F.col("id").alias(id_col), held_out.alias("held_out"), "score", predicted.alias("predicted"), "evidence_terms", F.col("evidence_examples").cast(f"array<{kind}>").alias("evidence_examples"), "text_hash")
 
 
 def clean_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs that are not predicted toxic, with all their columns."""
     bad = toxicity(docs, labels, id_col, text_col, **options).where("predicted = 1").select(F.col(id_col).alias("__id"), F.col("text_hash").alias("__hash")).distinct()
     bad = written(bad, "toxicity-rejected")
-    same = column(docs, id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text_of(column(docs, text_col))) == F.col("__hash"))
+    same = column(docs, id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_of(column(docs, text_col))) == F.col("__hash"))
     return docs.join(small_or_not(bad, bad.count()), same, "left_anti")

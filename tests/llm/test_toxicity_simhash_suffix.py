@@ -19,30 +19,63 @@ def words(rng, n, alphabet="abcdefgh"):
 # Toxicity
 
 
-def cosine(a, b):
-    ta = dict(zip(a[0].tolist(), a[1].tolist()))
-    return sum(w * ta.get(t, 0.0) for t, w in zip(b[0].tolist(), b[1].tolist()))
-
-
-def test_block_max_index_is_exact():
+@pytest.mark.parametrize("k", [1, 7, 60, 500])
+@pytest.mark.parametrize("long_list", [2, 64, 10_000])
+def test_block_max_index_is_exact(k, long_list):
     rng = np.random.default_rng(2)
-    vectors = []
-    for _ in range(300):
-        terms = np.sort(rng.choice(40, rng.integers(1, 8), replace=False))
-        w = rng.random(len(terms)) + 0.1
-        vectors.append((terms, w / np.sqrt(w @ w)))
-    texts = rng.integers(1, 4, 300)
-    index = toxicity.BlockMaxIndex(vectors, texts.tolist(), [0] * 300, list(range(300)), block=8)
-    for q in range(60):
-        got = index.nearest(*vectors[q], k=10)
-        sims = sorted(((cosine(vectors[q], v), i) for i, v in enumerate(vectors)), reverse=True)
-        total, want = 0, []
-        for s, i in sims:
-            if total >= 10 and s < want[-1] - 1e-9:
-                break
-            want.append(s)
-            total += texts[i]
-        assert [x.similarity for x in got] == pytest.approx(want)
+    counts = [np.sort(rng.choice(200, rng.integers(0, 25), replace=False)) for _ in range(300)]
+    ends = np.concatenate([[0], np.cumsum([len(c) for c in counts])])
+    rows = toxicity.unit_rows(ends, np.concatenate(counts), rng.integers(1, 5, ends[-1]).astype(float), rng.random(200) + 0.1)
+    dense = np.zeros((300, 200))
+    dense[rows.of(), rows.terms] = rows.weights
+    index = toxicity.BlockMaxIndex(rows, 200, block=8, long_list=long_list)
+    for without in (None, index.place):
+        got, kth = index.similarities(rows, k, without)
+        want = dense @ dense[index.order].T
+        if without is not None:
+            want[np.arange(300), without] = -2
+        best = np.sort(want, axis=1)[:, ::-1][:, min(k, 300 - (without is not None)) - 1]
+        assert kth == pytest.approx(best)
+        near = want >= best[:, None] - 1e-9
+        assert got[:, :300][near] == pytest.approx(want[near]) and (got[:, :300][~near] < kth.repeat(300).reshape(300, 300)[~near]).all()
+
+
+def test_scores_equal_brute_force(spark):
+    """Votes of the nearest by whole TF-IDF vectors, written out in dense arrays."""
+    docs, labels, known = corpus(spark, 150)
+    got = {(r.doc_id, r.text_hash): r for r in toxicity.toxicity(docs, labels).collect()}
+    texts = [(r.doc_id, r.text or "") for r in docs.collect()]
+    words = [toxicity.word_counts(t) for _, t in texts]
+    of = dict(zip([i for i, _ in texts], range(len(texts))))
+    train = [(of[i], bad) for i, bad in known if zlib.crc32(str(i).encode()) % 5]
+    voc = sorted({w for i, _ in train for w in words[i]})
+    idf = np.array([np.log((1 + len(texts)) / (1 + sum(w in c for c in words))) + 1 for w in voc])
+    full = np.array([[(1 + np.log(c[w])) * x if c[w] else 0.0 for w, x in zip(voc, idf)] for c in words])
+    full /= np.maximum(1e-300, np.sqrt((full * full).sum(axis=1)))[:, None]
+    bad = np.array([float(y) for _, y in train])
+    k = max(toxicity.LEAST_VOTERS, round(toxicity.VOTERS_SHARE * len(train)))
+
+    def vote(sims):
+        near = sims >= max(np.sort(sims)[::-1][k - 1], 0) - 1e-9
+        return (sims[near] + 1e-9) @ bad[near] / (sims[near] + 1e-9).sum()
+
+    left_out = []
+    for n, (i, _) in enumerate(train):
+        sims = full[i] @ full[[j for j, _ in train]].T
+        sims[n] = -1
+        left_out.append(vote(sims))
+    slope, shift = toxicity.platt(np.array(left_out), bad, np.ones(len(bad)))
+    seen = toxicity.toxicity(docs, labels).join(docs.select("text").withColumn("h", toxicity.F.xxhash64(toxicity.F.coalesce("text", toxicity.F.lit("")))), toxicity.F.col("h") == toxicity.F.col("text_hash")).select("text", "score").distinct().collect()
+    want = {t: 1 / (1 + np.exp(-(slope * vote(full[i] @ full[[j for j, _ in train]].T) + shift))) for i, (_, t) in enumerate(texts)}
+    assert {r.text or "": r.score for r in seen} == pytest.approx(want, abs=1e-7) and len(got) == len({(i, t) for i, t in texts})
+
+
+def test_ids_that_are_text_and_repeat(spark):
+    docs = spark.createDataFrame([(f"n{i % 50}", "mild words here" if i % 3 else "vile words here", 1) for i in range(100)], "doc_id string, text string, score int")
+    labels = spark.createDataFrame([(f"n{i}", int(i % 3 == 0)) for i in range(50)], "doc_id string, toxic int")
+    first, second = (sorted(map(str, toxicity.toxicity(docs.repartition(n), labels).collect())) for n in (2, 5))
+    assert first == second and len(first) == 100
+    assert toxicity.clean_rows(docs, labels).columns == docs.columns
 
 
 def corpus(spark, n=700):
