@@ -2,8 +2,9 @@
 
 The standard library's parser streams a page's events into lines: the text of one block element each, with the number
 of tags that stand in and before it. Lines inside elements that are never article text (menus, footers, forms, ...) get
-the ratio 0. The ratios are smoothed by a Gaussian and split by a threshold into content and rest; the content lines
-vote, by their length, for the innermost element that holds nearly all of them, and that region's lines are the text.
+the ratio 0. The ratios are smoothed by a Gaussian, so that short blocks among long ones rise and lone boxes fall, and
+split by a threshold into content and rest. The content lines vote, by their length, for the innermost element that
+holds nearly all of them; of that region all lines stay but those of plain boxes in which no line is content.
 """
 
 from __future__ import annotations
@@ -27,6 +28,10 @@ INLINE = frozenset(
 NEVER = frozenset("head title script style noscript template nav footer aside form button select option textarea input dialog iframe object svg canvas math audio video menu datalist".split())
 NEVER_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar status".split())
 REGION = frozenset(("article", "main"))
+#: Parts of a text: never the region itself.
+PARTS = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd table caption thead tbody tfoot tr td th pre blockquote figure figcaption details summary address hgroup".split())
+#: Elements that say nothing about what they hold: they need content lines to count.
+BOXES = frozenset(("div", "section", "center"))
 #: What a closing paragraph or item implies.
 CLOSES = {
     "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "tr": frozenset(("tr", "td", "th")),
@@ -43,7 +48,9 @@ MARKS = frozenset(
 NOT_AFTER = frozenset("no has with without non".split())
 DENSE_LINKS = 0.5
 SIGMA = 1.0
+#: The region holds this share of the content at least; a run of content lines below STRAY of the largest has no vote.
 HELD = 0.9
+STRAY = 0.1
 
 
 class Line(NamedTuple):
@@ -174,35 +181,54 @@ def smoothed(values: list[float], sigma: float = SIGMA) -> list[float]:
     return out
 
 
+def runs_of(picked: list[int], lines: list[Line]) -> list[list[int]]:
+    """Picked lines in runs; what is between two lines of a run is one line at most, or never text."""
+    runs: list[list[int]] = []
+    for i in picked:
+        if runs and sum(not lines[k].never for k in range(runs[-1][-1] + 1, i)) <= 1:
+            runs[-1].append(i)
+        else:
+            runs.append([i])
+    return runs
+
+
 def content(lines: list[Line], names: dict[int, str]) -> list[Line]:
     """The lines of the content region."""
-    ratio = [0.0 if x.never else (len(x.text) - x.linked) / max(1, x.tags) for x in lines]
-    if not any(not x.never for x in lines):
+    usable = [i for i, x in enumerate(lines) if not x.never]
+    if not usable:
         return []
+    ratio = [0.0 if x.never else (len(x.text) - x.linked) / max(1, x.tags) for x in lines]
     smooth = smoothed(ratio)
     mean = sum(smooth) / len(smooth)
     threshold = math.sqrt(sum((s - mean) ** 2 for s in smooth) / len(smooth))
-    picked = [i for i, x in enumerate(lines) if not x.never and ratio[i] > 0 and smooth[i] >= threshold]
-    picked = picked or [i for i, x in enumerate(lines) if not x.never and ratio[i] > 0] or [i for i, x in enumerate(lines) if not x.never]
+    picked = [i for i in usable if ratio[i] > 0 and smooth[i] >= threshold] or [i for i in usable if ratio[i] > 0] or usable
+    size = lambda run: sum(len(lines[i].text) for i in run)
+    runs = runs_of(picked, lines)
+    largest = max(map(size, runs))
     mass: dict[int, int] = {}
-    for i in picked:
-        for n in lines[i].inside:
-            mass[n] = mass.get(n, 0) + len(lines[i].text)
-    total = sum(len(lines[i].text) for i in picked)
-    semantic = [n for n, m in mass.items() if names[n] in REGION and 2 * m >= total]
-    if semantic:
-        region = max(semantic, key=lambda n: (names[n] == "article", n))  # the innermost, an article before the main part around it
-        return [x for x in lines if not x.never and region in x.inside]
-    region = max((n for n, m in mass.items() if m >= HELD * total), default=None)
-    first, last = picked[0], picked[-1]
-    while first and lines[first - 1].heading and not lines[first - 1].never:
-        first -= 1
-    beside = {lines[i].inside[-2:-1] for i in picked}  # the elements that hold the picked blocks hold short ones too
-    return [
-        x
-        for i, x in enumerate(lines)
-        if not x.never and (first <= i <= last or x.inside[-2:-1] in beside) and (region is None or region in x.inside or x.heading) and x.linked <= DENSE_LINKS * len(x.text)
-    ]
+    total = 0
+    for run in runs:
+        if size(run) >= STRAY * largest:
+            total += size(run)
+            for i in run:
+                for n in lines[i].inside:
+                    mass[n] = mass.get(n, 0) + len(lines[i].text)
+    region = max((n for n, m in mass.items() if m >= HELD * total and names[n] not in PARTS), default=None)
+    inside = [i for i in picked if region is None or region in lines[i].inside]
+    first, last, boxes = inside[0], inside[-1], {n for i in inside for n in lines[i].inside}
+    while first and lines[first - 1].heading and not lines[first - 1].never and len(lines[first - 1].inside) <= len(lines[first].inside):
+        first -= 1  # the headings over the text belong to it wherever they stand
+
+    def kept(i: int, x: Line) -> bool:
+        if x.never:
+            return False
+        if region is not None and region not in x.inside:
+            return x.heading and first <= i <= last
+        if not first <= i <= last and x.linked > DENSE_LINKS * len(x.text):
+            return False
+        return not any(names[n] in BOXES and n not in boxes for n in (x.inside if region is None else x.inside[x.inside.index(region) :]))
+
+    return [x for i, x in enumerate(lines) if kept(i, x)]
 
 
 def main_text(html: str | None) -> str:

@@ -90,6 +90,46 @@ def test_main_text(wrap):
     assert main_text(PAGE % (wrap % BODY)) == TEXT
 
 
+LONG = "A paragraph that is long enough to be text, with several words in it and an end. " * 3
+
+
+def test_smoothing_decides():
+    """A lone box with a long line among short ones isn't content; a short block among long ones is. Without the Gaussian both go wrong."""
+    box = "<div><div>Win</div><div>a</div><div>prize</div><div>Call us at any time of the day or night for offers.</div><div>or</div><div>ask</div><div>us</div></div>"
+    body = "<div>" + "".join(f"<p>{LONG}{i}</p><div>So {i}.</div>" for i in range(4)) + "</div>"
+    want = "\n".join(f"{LONG}{i}\nSo {i}." for i in range(4))
+    page = f"<html><body>{box}{body}</body></html>"
+    assert main_text(page) == want
+    import lakequill.llm.html_extract as H
+
+    held, H.smoothed = H.smoothed, lambda values: values
+    try:
+        assert main_text(page) != want
+    finally:
+        H.smoothed = held
+
+
+def test_two_articles_and_linked_paragraphs():
+    linked = '<p><a href="x">A paragraph that is a link from its start to its end, as some are.</a></p>'
+    one, two = (f"<article><h2>Title {n}</h2><p>{LONG}{n}</p>{linked if n == 1 else ''}<p>{LONG}!</p></article>" for n in (1, 2))
+    text = main_text(f"<body><nav><a>Menu</a></nav><main>{one}{two}</main><footer>Foot</footer></body>").split("\n")
+    assert text == ["Title 1", f"{LONG}1", "A paragraph that is a link from its start to its end, as some are.", f"{LONG}!", "Title 2", f"{LONG}2", f"{LONG}!"]
+
+
+@pytest.mark.parametrize("names", ["article", "div", "section", "main"])
+def test_given_pages_without_the_tag(sf, names):
+    """The given pages, brute force by their blocks; the article element is renamed, so no tag name decides."""
+    import html
+    import re
+
+    import pyarrow.parquet as pq
+
+    for r in pq.read_table(f"{sf}/pages.parquet").to_pylist():
+        article = r["html"][r["html"].index("<article>") + 9 : r["html"].rindex("</article>")]
+        blocks = [" ".join(html.unescape(re.sub("<[^>]*>", "", x)).split()) for x in re.split(r"</?(?:h1|p)>|<br>(?=<p>|$)", article)]
+        assert main_text(r["html"].replace("<article>", f"<{names}>").replace("</article>", f"</{names}>")) == "\n".join(b for b in blocks if b)
+
+
 def test_pages_without_text(spark):
     df = spark.createDataFrame([(1, "u", None, "x"), (2, None, "", "x"), (2, None, "<nav>a</nav>", "x"), (3, "v", PAGE % ("<article>" + "<p>word</p>" * 20_000 + "</article>"), "x")], "page_id long, url string, html string, text string")
     rows = sorted(extract(df).collect(), key=lambda r: r.n_chars)
