@@ -135,12 +135,27 @@ def test_chunks():
     assert small[0][5] is None and "## Geschichte" in small[0][6] and {r[5] for r in small[1:]} == {"Lage"}
     assert not any("Bearbeiten" in r[6] or "Weblinks" in r[6] for r in rows)
     assert len([r for r in rows if r[2] == 2048]) == 1 and [r[3] for r in small] == list(range(len(small)))
-    assert chunking.tiny_joined([("a", "x " * 60, 60), (None, "Kurz.", 2)], 256, chunking.count_units)[0][0] == "a"
+    assert [c for c, _, _ in chunking.with_tiny_joined([("a", "x " * 60), (None, "Kurz.")], 256, chunking.count_units)] == ["a"]
 
 
 def test_code_fences_hold_no_headings():
-    found = chunking.sections("## A\n```\n# not a heading\n```\ntext\n#### deep\nmore", chunking.count_units)
-    assert len(found) == 1 and found[0].trail == ("A",) and "# not a heading" in found[0].text and "#### deep" in found[0].text
+    page = chunking.Page("## A\n```\n# not a heading\n```\ntext\n#### deep\nmore", chunking.count_units)
+    assert page.above == [["A"]] and "# not a heading" in page.texts[0] and "#### deep" in page.texts[0]
+
+
+@given(st.lists(st.integers(1, 30), max_size=40), st.integers(5, 60))
+def test_groups_equal_a_greedy_walk(costs, size):
+    page = chunking.Page("", chunking.count_units)
+    page.costs = costs
+    want, used = [], None
+    for i, c in enumerate(costs):
+        if c > size or used is None or used + c + 1 > size:
+            want.append([i])
+            used = None if c > size else c + 1
+        else:
+            want[-1].append(i)
+            used += c + 1
+    assert [list(g) for g in page.groups(size)] == want
 
 
 @settings(max_examples=60, deadline=None)
