@@ -30,7 +30,7 @@ BLOCK = 64
 #: A list is long, and so cut into blocks with maxima, if more than one in so many examples stands in it.
 LONG_LIST = 16
 #: Texts that are looked up together.
-TOGETHER = 256
+TOGETHER = 128
 SHOWN = 5
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -102,15 +102,20 @@ class BlockMaxIndex:
         place = np.empty(n, np.int64)
         place[self.order] = np.arange(n)
         self.place = place
-        lists = np.zeros((len(often), self.blocks * block))
-        lists[:, :n] = dense[self.order].T
-        self.most = lists.reshape(len(often), self.blocks, block).max(axis=2)
-        # Of each block the lists that stand in it, and their part.
-        self.there = [np.flatnonzero(self.most[:, b]) for b in range(self.blocks)]
-        self.parts = [np.ascontiguousarray(lists[at, b * block : (b + 1) * block]) for b, at in enumerate(self.there)]
+        # Of each block the lists that stand in it, their part, and each list's largest weight there.
+        self.most = np.zeros((len(often), self.blocks))
+        self.there, self.parts = [], []
+        for b in range(self.blocks):
+            part = np.zeros((len(often), block))
+            own = self.order[b * block : (b + 1) * block]
+            part[:, : len(own)] = dense[own].T
+            self.most[:, b] = part.max(axis=1)
+            self.there.append(np.flatnonzero(self.most[:, b]))
+            self.parts.append(part[self.there[-1]])
+        del dense
         few = np.flatnonzero(at < 0)
         few = few[np.argsort(vectors.terms[few], kind="stable")]
-        self.few_place, self.few_weight = place[of[few]], vectors.weights[few]
+        self.few_place, self.few_weight = place[of[few]].astype(np.int32), vectors.weights[few]
         self.few_ends = np.concatenate([[0], np.cumsum(np.bincount(vectors.terms[few], minlength=terms))])
 
     def similarities(self, asked: Rows, k: int, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -202,8 +207,8 @@ def platt(raw: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[float
     return max(0.0, float(beta[0])), float(beta[1])
 
 
-def _vectors(words: list[str]) -> Callable:
-    """Texts to the positions and counts of the model's words."""
+def _vectors(words: list[str], label: str = "text_hash") -> Callable:
+    """Texts to the positions and counts of the model's words; (id, text, what is carried on as `label`)."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = {w: i for i, w in enumerate(words)}
@@ -216,7 +221,7 @@ def _vectors(words: list[str]) -> Callable:
                         counts.append(n)
                 ends.append(len(terms))
             lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, pa.int32())) for x in (terms, counts)]
-            yield pa.RecordBatch.from_arrays([got.column(0), got.column(2), *lists], ["id", "text_hash", "idx", "tf"])
+            yield pa.RecordBatch.from_arrays([got.column(0), got.column(2), *lists], ["id", label, "idx", "tf"])
 
     return run
 
@@ -235,11 +240,10 @@ def _frequencies(terms: int) -> Callable:
     return run
 
 
-def _example_words(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _words(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for got in source:
-        counts = [word_counts(t or "") for t in got.column(2).to_pylist()]
-        columns = [pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))]
-        yield pa.RecordBatch.from_arrays([got.column(0), got.column(1), *columns], ["id", "toxic", "words", "tf"])
+        for text in got.column(0).to_pylist():
+            yield pa.RecordBatch.from_arrays([pa.array(list(word_counts(text or "")), pa.string())], ["word"])
 
 
 def _rows(got: pa.RecordBatch) -> Rows:
@@ -276,16 +280,15 @@ def training_sample(docs: DataFrame, labels: DataFrame, most: int = MOST_EXAMPLE
 
 def fit(sample: DataFrame, vectors_of: Callable[[list[str]], DataFrame]) -> tuple[Model, DataFrame]:
     """The model of the sampled (id, toxic, text) rows, and all documents' (id, text_hash, idx, tf) as a written table."""
-    examples = sorted(sample.mapInArrow(_example_words, "id string, toxic int, words array<string>, tf array<int>").collect())
-    words = sorted({w for e in examples for w in e["words"]})
+    words = sorted(sample.select("text").mapInArrow(_words, "word string").distinct().toArrow().column(0).to_pylist())  # of the sample alone
     table = written(vectors_of(words), "toxicity-vectors")
     idf = np.full(len(words), math.log(1 + table.count()) + 1)
-    held = table.select("idx").mapInArrow(_frequencies(len(words)), "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).toPandas()  # a row for each word of the sample at most
-    idf[held["t"].to_numpy(np.int64)] -= np.log(1 + held["n"].to_numpy(np.float64))
-    at = {w: i for i, w in enumerate(words)}
-    terms = np.array([at[w] for e in examples for w in e["words"]], np.int64)
-    rows = Rows(np.concatenate([[0], np.cumsum([len(e["tf"]) for e in examples])]).astype(np.int64), terms, np.array([n for e in examples for n in e["tf"]], np.float64))
-    return Model(words, idf, rows, [e["id"] for e in examples], np.array([float(e["toxic"] > 0) for e in examples])), table
+    held = table.select("idx").mapInArrow(_frequencies(len(words)), "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()  # a row for each word at most
+    idf[held.column(0).to_numpy()] -= np.log(1 + held.column(1).to_numpy())
+    ordered = sample.select("id", "text", F.col("toxic").cast("long").alias("text_hash"))
+    examples = ordered.mapInArrow(_vectors(words, "toxic"), "id string, toxic long, idx array<int>, tf array<int>").toArrow().combine_chunks().sort_by("id")
+    batch = pa.RecordBatch.from_arrays([examples.column(i).combine_chunks() for i in range(4)], ["id", "toxic", "idx", "tf"])
+    return Model(words, idf, _rows(batch), batch.column(0).to_pylist(), (batch.column(1).to_numpy() > 0).astype(np.float64)), table
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_examples: int = MOST_EXAMPLES) -> DataFrame:
