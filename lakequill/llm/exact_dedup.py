@@ -167,14 +167,17 @@ def _combine(budget: int) -> Callable:
 def _resolve(budget: int) -> Callable:
     """The classes of the partitions to classes of the whole table."""
 
-    def merge(a: tuple, b: tuple) -> tuple:
-        return a[0] + b[0], _better(a[1], b[1]), a[2] + b[2]
+    def merge(a: list, b: list) -> list:
+        a[0] += b[0]
+        a[1] = _better(a[1], b[1])
+        a[2].extend(b[2])  # in place: a hot text has a member for each partition
+        return a
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for got in source:
                 for part, cls, row, doc_id, n, h, content in zip(*(got.column(i).to_pylist() for i in range(7)), strict=True):
-                    yield h + (1 << 63), content, (n, (doc_id, part, row), [(part, cls)])
+                    yield h + (1 << 63), content, [n, (doc_id, part, row), [(part, cls)]]
 
         def out() -> Iterator[tuple]:
             for _, _, (n, best, members) in grace(rows(), merge, budget):

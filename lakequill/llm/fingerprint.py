@@ -7,6 +7,8 @@ one, all but the first get a numbered fingerprint, so equal fingerprints always
 
 from __future__ import annotations
 
+import json
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,10 +16,6 @@ from pyspark.sql import functions as F
 
 from lakequill.llm.common import column, small_or_not, text_of, written
 
-ROWS_A_BLOCK = 1_000
-MOST_BLOCKS = 20_000
-KNOTS = 64
-
 
 def canonical(text: Column) -> Column:
     """NFKC, full case folding, NFKC again, every run of white space one blank, trimmed. The Unicode tables are those of the ICU library in Spark."""
@@ -35,32 +33,34 @@ def _hex(digest: Column) -> Column:
     return F.lower(F.concat(*(F.lpad(F.hex(digest[k]), 16, "0") for k in ("hi", "lo"))))
 
 
-def _block_of(ids: Column, knots: list[int], blocks: int) -> Column:
-    """A number from 0 that never falls as the id rises, about as many rows for each; nulls -1."""
-    knots = sorted(set(knots))
-    last = max(1, len(knots) - 1)
-    out = F.lit(blocks - 1)
-    for i in reversed(range(len(knots) - 1)):
-        low, high = knots[i], knots[i + 1]
-        share = (i + (ids.cast("double") - float(low)) / (float(high) - float(low))) / last
-        out = F.when(ids < high, F.least(F.floor(share * blocks), F.lit(blocks - 1))).otherwise(out)
-    return F.when(ids.isNull(), -1).otherwise(F.greatest(out, F.lit(0))).cast("long")
+def _range_of(ids: Column, kind: str, starts: list) -> Column:
+    """The number of starts (rising) that aren't above the id, nulls -1: a search in two steps, over every so many starts and then between two of them."""
+    wide = max(1, math.isqrt(len(starts)))
+    steps = [starts[i : i + wide] for i in range(0, len(starts), wide)]
+    held = lambda value, type_: F.from_json(F.lit(json.dumps(value, default=str)), type_)  # noqa: E731  folded to a constant
+    below = lambda xs: F.size(F.filter(xs, lambda x: x <= ids))
+    step = below(held([s[0] for s in steps], f"array<{kind}>"))
+    found = F.when(step == 0, 0).otherwise((step - 1) * wide + below(F.get(held(steps, f"array<array<{kind}>>"), step - 1)))
+    return F.when(ids.isNull(), -1).otherwise(found).cast("long")
 
 
-def with_next(docs: DataFrame, ordered: list[Column], carried: list[str], id_col: str) -> DataFrame:
+def with_next(docs: DataFrame, ordered: list[Column], carried: list[str], id_col: str, ranges: int | None = None) -> DataFrame:
     """docs with next_<c> for each carried column: that of the next row by descending id (ties by the ordered columns), after the last the first.
 
-    Rows are dealt into blocks of neighbouring ids; each block also gets the first rows of the next one, so one shuffle
-    of the rows answers it and no task sees more than its block.
+    The ids alone are dealt into ranges of about equal numbers by Spark's sampling; the rows then meet by range, and each
+    range also gets the first rows of the next one, so one shuffle of the rows answers it and no task sees more than its
+    ranges, however the ids lie. ranges: their number, as many as shuffle partitions by default.
     """
+    spark = docs.sparkSession
+    kind = dict(docs.dtypes)[id_col]
     ids = docs.select(F.col(id_col).alias("id"))
-    n, *rest = ids.agg(F.count(F.lit(1)), F.percentile_approx("id", [i / KNOTS for i in range(KNOTS + 1)], 10_000)).first()
-    knots = rest[0] or [0]
-    blocks = max(1, min(MOST_BLOCKS, n // ROWS_A_BLOCK))
-    block = _block_of(F.col(id_col), knots, blocks)
-    first = ids.groupBy(_block_of(F.col("id"), knots, blocks).alias("block")).agg(F.max("id").alias("id")).orderBy(F.desc("block")).collect()  # MOST_BLOCKS rows and one at most
+    many = ranges or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    lows = ids.where("id is not null").repartitionByRange(many, "id").groupBy(F.spark_partition_id().alias("p")).agg(F.min("id").alias("low"))
+    starts = sorted({r["low"] for r in lows.collect()})  # a row for each range at most
+    block = _range_of(F.col(id_col), kind, starts) if starts else F.lit(-1).cast("long")
+    first = ids.withColumnRenamed("id", id_col).groupBy(block.alias("block")).agg(F.max(id_col).alias("id")).orderBy(F.desc("block")).collect()  # and one for null ids
     before = {r["block"]: first[i - 1]["block"] for i, r in enumerate(first)}
-    edges = docs.sparkSession.createDataFrame([(r["id"], before[r["block"]]) for r in first], f"__edge {dict(ids.dtypes)['id']}, __to long")
+    edges = spark.createDataFrame([(r["id"], before[r["block"]]) for r in first], f"__edge {kind}, __to long")
     placed = docs.withColumn("__block", block).join(F.broadcast(edges), F.col(id_col).eqNullSafe(F.col("__edge")), "left")
     copies = F.array(F.struct(F.lit(0).alias("copy"), F.col("__block").alias("block")), F.struct(F.lit(1).alias("copy"), F.col("__to").alias("block")))
     dealt = placed.withColumn("__at", F.explode(F.when(F.col("__to").isNull(), F.slice(copies, 1, 1)).otherwise(copies))).drop("__edge", "__to", "__block")

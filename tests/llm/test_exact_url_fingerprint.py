@@ -95,8 +95,16 @@ def edited(text, following):
     return text[: n - n // 2] + following[: n // 2]
 
 
-def test_fingerprints_equal_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(fingerprint, "ROWS_A_BLOCK", 3)
+@pytest.mark.parametrize("ranges", [1, 3, 40])
+def test_next_row_in_any_ranges(spark, ranges):
+    ids = [5, 5, 900_000_000, 900_000_001, 900_000_002, None, None, -7, 0, 1, 2, 3]
+    df = spark.createDataFrame([(i, f"t{k}") for k, i in enumerate(ids)], "id long, text string")
+    got = fingerprint.with_next(df, [F.col("text")], ["text"], "id", ranges).collect()
+    order = sorted(((i, f"t{k}") for k, i in enumerate(ids)), key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
+    assert {r.text: r.next_text for r in got} == {t: order[(k + 1) % len(order)][1] for k, (_, t) in enumerate(order)} and len(got) == len(ids)
+
+
+def test_fingerprints_equal_brute_force(spark):
     texts = ["Hello  World", "hello world ", "Straße", "STRASSE", "ﬁne é", "fine é", "", None, "😀😀 abc", "a", "long " * 30_000, "Hello  World"]
     df = spark.createDataFrame([(i * 7 % 50 if i else 99, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, fingerprint string")
     order = sorted(((r.doc_id, r.text or "") for r in df.collect()), reverse=True)
