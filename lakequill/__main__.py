@@ -7,7 +7,7 @@ import argparse
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from lakequill import models
+from lakequill import models, schemas
 from lakequill.operators.chunking import SIZES, chunk_pages
 from lakequill.operators.store import carry_over
 from lakequill.plans import evaluate
@@ -41,11 +41,15 @@ def parser() -> argparse.ArgumentParser:
 
 
 def corpus_of(data: tables.Dataset, questions, methods: list[str], size: int) -> Corpus:
+    """The corpus of a size. Places of queries and points of pages are tables of the folder; without them no query is scoped."""
     chunks = data.load("chunks", size=size)
     providers = dict.fromkeys(filter(None, map(provider_of, methods)))
     vectors = {p: data.load("vectors", ["chunk_id", "vec"], provider=p, size=size) for p in providers}
     asked = questions.select(F.col("question_id").alias("query_id"), "text")
-    return Corpus(chunks.select("id", "text"), vectors, {p: models.embed(asked, "query_id", "text") for p in providers})
+    places = data.optional("places", "query_id string, lat double, lon double, granularity string")
+    points = data.optional("points", "page_id string, lat double, lon double")
+    of_chunks = chunks.select(F.col("id").alias("chunk_id"), "page_id").join(points, "page_id").select("chunk_id", "lat", "lon")
+    return Corpus(chunks.select("id", "text"), vectors, {p: models.embed(asked, "query_id", "text") for p in providers}, {}, places, of_chunks)
 
 
 def main(args: list[str] | None = None) -> None:
@@ -53,17 +57,11 @@ def main(args: list[str] | None = None) -> None:
     spark = SparkSession.builder.appName(f"lakequill {a.command}").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     data = tables.Dataset(spark, a.data)
     if a.command == "fetch-pages":
-        tables.append_fetched(fetch.fetch_all(tables.source_urls(spark, a.sources), timeout=a.timeout, delay=a.domain_delay).withColumnRenamed("html", "text"), a.out)
+        tables.append_fetched(fetch.with_text(fetch.fetch_all(tables.source_urls(spark, a.sources), timeout=a.timeout, delay=a.domain_delay)), a.out)
     elif a.command == "chunk":
         chunks = chunk_pages(data.load("pages", ["id", "title", "text"]), a.sizes)
-        try:
-            old = data.load("chunks").withColumn("pos", F.col("n"))
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            old = None
-        chunks = carry_over(chunks, old, ["role"]) if old is not None else chunks.withColumn("role", F.lit(None).cast("string"))
-        data.write("chunks", chunks, ["size"])
+        old = data.optional("chunks", schemas.CHUNK).withColumn("pos", F.col("n"))
+        tables.replace_partitions(carry_over(chunks, old, ["role"]), data.path("chunks"), ["size"])  # other sizes stay
     elif a.command == "index":
         out = None
         for size in a.sizes:
@@ -71,7 +69,7 @@ def main(args: list[str] | None = None) -> None:
             texts = chunks.select(F.col("id").alias("chunk_id"), F.concat_ws("\n", "title", "breadcrumb", "text").alias("text"))
             part = models.embed_missing(texts, data.vector_slots(a.method, size), "chunk_id", "text").select(F.lit(a.method).alias("provider"), F.lit(size).cast("long").alias("size"), "chunk_id", "vec")
             out = part if out is None else out.unionByName(part)
-        tables.replace(out, data.path("vectors"), ["provider", "size"])
+        tables.replace_partitions(out, data.path("vectors"), ["provider", "size"])  # other providers and sizes stay
     else:
         names = list(catalog()) if a.command == "eval-all" else resolve(a.methods)
         results = {}

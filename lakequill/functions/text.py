@@ -163,17 +163,17 @@ def html_title(html: Column) -> Column:
 
 
 def response_error(status: Column, content_type: Column, html: Column) -> Column:
-    """Why a response is no usable page, or null: its status, what isn't HTML, a bot check in the first 20,000 characters."""
+    """Why a response is no usable page, or null: its status, what isn't HTML, a bot check in the first 20,000 characters (its widget's mark, or its greeting together with its maker's name)."""
     start = F.lower(F.left(html, F.lit(20_000)))
     return (
         F.when(status >= 400, F.concat(F.lit("http "), status.cast("string")))
         .when(~F.coalesce(is_html(content_type), F.lit(False)), F.lit("not html"))
-        .when(start.contains("cf-browser-verification") | start.contains("just a moment...") | start.contains("cf-challenge"), F.lit("bot check"))
+        .when(start.contains("cf-chl") | (start.contains("just a moment") & start.contains("cloudflare")), F.lit("bot check"))
     )
 
 
 def is_html(content_type: Column) -> Column:
-    return F.lower(content_type).contains("html")
+    return F.lower(content_type).contains("text/html")
 
 
 def is_child_page(page_url: Column, link_url: Column) -> Column:

@@ -1,7 +1,8 @@
 """Exact vector search in blocks.
 
-The queries travel to the chunks in blocks of bounded bytes; each task multiplies its own rows by a block and keeps
-its best k, so a shuffle sees k rows for each query and task, whatever the number of chunks.
+Rows of both sides are packed into blocks, matrices of bounded bytes, in the executors; no vector passes the driver. Each
+block of the stated queries meets each block of chunks, is multiplied with it and leaves its best k, so a shuffle sees
+k rows for each query and block, whatever the number of chunks.
 """
 
 from __future__ import annotations
@@ -11,69 +12,83 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakequill.operators.ranking import top_k
+from lakequill.operators.sizes import BROADCAST_ROWS
 
-BLOCK_BYTES = 32 << 20
-ROWS = 4_096
+#: Of a block of chunks and of queries; their product of float64 takes 8 * 8,192 * 256 bytes.
+BLOCK_BYTES = 16 << 20
+ROWS, QUERIES = 8_192, 256
+#: Queries times dimensions that may be broadcast, as float32 64 MB.
+BROADCAST_NUMBERS = 16 << 20
 
 
-def _matrix(col: pa.Array) -> np.ndarray:
-    """A list column without nulls as a float32 matrix."""
-    flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False)
-    return flat.reshape(len(col), -1) if len(col) else np.empty((0, 0), np.float32)
+def _pack(rows: int) -> Callable:
+    """Rows (id, vec, more ...) to blocks (ids, data, more ... as lists), sorted by id within."""
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for got in source:
+            if not got.num_rows:
+                continue
+            got = got.take(pc.sort_indices(got.column(0)))
+            step = max(1, min(rows, BLOCK_BYTES // max(1, 4 * len(got.column(1)[0]))))
+            for low in range(0, got.num_rows, step):
+                part = got.slice(low, step)
+                whole = lambda c: pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), pa.concat_arrays([c]))
+                data = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False).tobytes()
+                yield pa.RecordBatch.from_arrays([whole(part.column(0)), pa.array([data], pa.binary()), *(whole(part.column(i)) for i in range(2, part.num_columns))], ["ids", "data", *got.schema.names[2:]])
+
+    return run
+
+
+def blocks(rows: DataFrame, id_col: str, most: int, more: dict[str, Column] | None = None, prefix: str = "") -> DataFrame:
+    """rows (id, vec) with further columns as blocks (ids, data, ...), their names prefixed; rows without a vector are left out."""
+    more = more or {}
+    held = rows.where("vec is not null").select(F.col(id_col).alias("id"), F.col("vec").cast("array<float>").alias("vec"), *(c.alias(n) for n, c in more.items()))
+    kinds = dict(held.dtypes)
+    packed = held.mapInArrow(_pack(most), f"ids array<{kinds['id']}>, data binary" + "".join(f", {n} array<{kinds[n]}>" for n in more))
+    return packed.select(*(F.col(c).alias(prefix + c) for c in packed.columns))
 
 
-def query_blocks(queries: DataFrame, id_col: str, group_col: str | None = None) -> Iterator[tuple[list, np.ndarray, list]]:
-    """Blocks of (ids, vectors, groups), one at a time on the driver, none above BLOCK_BYTES."""
-    ids, vecs, groups, size = [], [], [], 0
-    cols = [id_col, "vec"] + ([group_col] if group_col else [])
-    for row in queries.select(*cols).where("vec is not null").toLocalIterator():
-        ids.append(row[0])
-        vecs.append(row[1])
-        groups.append(row[2] if group_col else None)
-        size += 4 * len(row[1])
-        if size >= BLOCK_BYTES:
-            yield ids, np.array(vecs, np.float32), groups
-            ids, vecs, groups, size = [], [], [], 0
-    if ids:
-        yield ids, np.array(vecs, np.float32), groups
+def _matrix(data: pa.Scalar, rows: int) -> np.ndarray:
+    return np.frombuffer(data.as_py(), np.float32).reshape(rows, -1).astype(np.float64)
 
 
-def _local_top(ids: list, vectors: np.ndarray, groups: list, k: int, other_group: bool, id_type: pa.DataType, chunk_type: pa.DataType) -> Callable:
-    code = {g: i for i, g in enumerate(dict.fromkeys(groups))}
-    group_of = np.array([code[g] for g in groups]) if other_group else None
+def _met(queries: DataFrame, n: int, dims: int, chunks: DataFrame) -> DataFrame:
+    """Each block of queries with each of chunks; the queries are broadcast if they are few enough, else pairs of partitions meet."""
+    small = n <= BROADCAST_ROWS and n * dims <= BROADCAST_NUMBERS
+    return chunks.crossJoin(F.broadcast(queries)) if small else chunks.hint("shuffle_replicate_nl").crossJoin(queries)
+
+
+def _size(queries: DataFrame) -> tuple[int, int]:
+    """How many queries have a vector, and its dimensions."""
+    found = queries.where("vec is not null").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dims")).first()
+    return found["n"], found["dims"] or 0
+
+
+def _best(k: int, grouped: bool, schema: pa.Schema) -> Callable:
+    """Pairs of blocks to the k best chunks of each query, by the score to nine digits, then by id."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best_s = np.full((len(ids), 0), -np.inf, np.float64)
-        best_c: np.ndarray = np.empty((len(ids), 0), object)
         for got in source:
-            for low in range(0, got.num_rows, ROWS):
-                part = got.slice(low, ROWS)
-                m = _matrix(part.column(1))
-                sims = np.einsum("qd,rd->qr", vectors.astype(np.float64), m.astype(np.float64))  # no BLAS: its threads can hang in forked workers
-                if other_group:
-                    own = np.array([code.get(g, -1) for g in part.column(2).to_pylist()])
-                    sims[group_of[:, None] == own[None, :]] = -np.inf
-                names = np.array(part.column(0).to_pylist(), object)
-                s = np.concatenate([best_s, sims], axis=1)
-                c = np.concatenate([best_c, np.broadcast_to(names, sims.shape)], axis=1)
-                if s.shape[1] > k:
-                    # by rounded score, then id: what top_k will ask for
-                    keep = np.empty((len(ids), k), np.int64)
-                    r = np.round(s, 9)
-                    for i in range(len(ids)):
-                        near = np.flatnonzero(r[i] >= np.partition(r[i], -k)[-k])
-                        keep[i] = sorted(near.tolist(), key=lambda j: (-r[i, j], c[i, j]))[:k]
-                    rows = np.arange(len(ids))[:, None]
-                    s, c = s[rows, keep], c[rows, keep]
-                best_s, best_c = s, c
-        if best_s.shape[1]:
-            ok = np.isfinite(best_s)
-            q = [ids[i] for i in np.nonzero(ok)[0].tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(q, id_type), pa.array(best_c[ok].tolist(), chunk_type), pa.array(best_s[ok])], ["query_id", "chunk_id", "score"])
+            for i in range(got.num_rows):
+                row = {name: got.column(name)[i] for name in got.schema.names}
+                ids, asked = row["ids"].values, row["q_ids"].values
+                sims = np.round(_matrix(row["q_data"], len(asked)) @ _matrix(row["data"], len(ids)).T, 9)
+                if grouped:
+                    own, other = (np.asarray(row[c].values.to_pylist(), object) for c in ("q_group", "group"))
+                    sims[own[:, None] == other[None, :]] = -np.inf
+                if sims.shape[1] > k:  # at least the k-th largest, of equals the first ones: ids rise within a block
+                    least = np.partition(sims, sims.shape[1] - k, axis=1)[:, sims.shape[1] - k]
+                    more, same = sims > least[:, None], sims == least[:, None]
+                    keep = more | (same & (np.cumsum(same, axis=1) <= (k - more.sum(axis=1))[:, None]))
+                else:
+                    keep = np.ones(sims.shape, bool)
+                q, c = np.nonzero(keep & np.isfinite(sims))
+                yield pa.RecordBatch.from_arrays([asked.take(pa.array(q)), ids.take(pa.array(c)), pa.array(sims[q, c])], schema=schema)
 
     return run
 
@@ -82,69 +97,41 @@ def dense_top_k(queries: DataFrame, chunks: DataFrame, limit: int = 10, group_co
     """queries (query_id, vec[, group]) against chunks (chunk_id, vec[, group]) by dot product; with group_col only chunks of other groups count.
 
     Rows without a vector are left out: check readiness first where that must not happen. Without queries or chunks the
-    ranking is empty.
+    ranking is empty. Scores have nine digits.
     """
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    q_type, c_type = queries.schema["query_id"].dataType, chunks.schema["chunk_id"].dataType
-    schema = f"query_id {q_type.simpleString()}, chunk_id {c_type.simpleString()}, score double"
-    cols = ["chunk_id", F.col("vec").cast("array<float>").alias("vec")] + ([group_col] if group_col else [])
-    held = chunks.where("vec is not null").select(*cols)
-    out = None
-    for ids, vectors, groups in query_blocks(queries, "query_id", group_col):
-        part = held.mapInArrow(_local_top(ids, vectors, groups, limit, group_col is not None, to_arrow_type(q_type), to_arrow_type(c_type)), schema)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return queries.sparkSession.createDataFrame([], f"query_id {q_type.simpleString()}, rank int, chunk_id {c_type.simpleString()}, score double")
-    return top_k(out, limit)
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    q_type, c_type = (df.schema[c].dataType.simpleString() for df, c in ((queries, "query_id"), (chunks, "chunk_id")))
+    result = f"query_id {q_type}, chunk_id {c_type}, score double"
+    group = {"group": F.col(group_col).cast("string")} if group_col else {}
+    met = _met(blocks(queries, "query_id", QUERIES, group, "q_"), *_size(queries), blocks(chunks, "chunk_id", ROWS, group))
+    schema = to_arrow_schema(queries.sparkSession.createDataFrame([], result).schema)
+    return top_k(met.mapInArrow(_best(limit, bool(group), schema), result), limit)
+
+
+def _above(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of blocks to, for each query, how many chunks are more similar than its own, and the best of the others."""
+    for got in source:
+        for i in range(got.num_rows):
+            row = {name: got.column(name)[i] for name in got.schema.names}
+            ids, asked = row["ids"].values, row["q_ids"].values
+            base = row["q_own"].values.to_numpy(zero_copy_only=False)
+            sims = np.round(_matrix(row["q_data"], len(asked)) @ _matrix(row["data"], len(ids)).T, 9)
+            own = pc.index_in(row["q_own_id"].values, ids).to_numpy(zero_copy_only=False)  # nan: not in this block
+            here = np.flatnonzero(~np.isnan(own.astype(float)))
+            sims[here, own[here].astype(np.int64)] = -np.inf
+            yield pa.RecordBatch.from_arrays([asked, pa.array((sims > base[:, None]).sum(axis=1)), pa.array(sims.max(axis=1)), pa.array(base)], ["query_id", "above", "best", "own"])
 
 
 def own_rank_margin(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """(query_id, dense_rank, margin): 1 + chunks more similar than the query's own (own_id), and own less best other similarity, four digits."""
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    q_type = queries.schema["query_id"].dataType
+    vec = lambda c: F.col(c).cast("array<float>").cast("array<double>")
     own = queries.join(chunks.select(F.col("chunk_id").alias("own_id"), F.col("vec").alias("own_vec")), "own_id").where("vec is not null and own_vec is not null")
-    out = None
-    rows: list[tuple] = []
-
-    def plan(rows: list[tuple]) -> DataFrame:
-        ids, own_ids = [r[0] for r in rows], [r[1] for r in rows]
-        q, o = np.array([r[2] for r in rows], np.float32).astype(np.float64), np.array([r[3] for r in rows], np.float32).astype(np.float64)
-        base = np.round((q * o).sum(axis=1), 9)
-
-        def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            above, best = np.zeros(len(ids), np.int64), np.full(len(ids), -np.inf)
-            at: dict = {}
-            for i, x in enumerate(own_ids):
-                at.setdefault(x, []).append(i)
-            for got in source:
-                for low in range(0, got.num_rows, ROWS):
-                    part = got.slice(low, ROWS)
-                    sims = np.round(np.einsum("qd,rd->qr", q, _matrix(part.column(1)).astype(np.float64)), 9)
-                    for j, c in enumerate(part.column(0).to_pylist()):
-                        for i in at.get(c, ()):
-                            sims[i, j] = -np.inf
-                    above += (sims > base[:, None]).sum(axis=1)
-                    if sims.shape[1]:
-                        best = np.maximum(best, sims.max(axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, to_arrow_type(q_type)), pa.array(above), pa.array(best), pa.array(base)], ["query_id", "above", "best", "own"])
-
-        cols = chunks.where("vec is not null").select("chunk_id", F.col("vec").cast("array<float>").alias("vec"))
-        return cols.mapInArrow(run, f"query_id {q_type.simpleString()}, above long, best double, own double")
-
-    size = 0
-    for row in own.select("query_id", "own_id", "vec", "own_vec").toLocalIterator():
-        rows.append(tuple(row))
-        size += 8 * len(row[2])
-        if size >= BLOCK_BYTES:
-            out = plan(rows) if out is None else out.unionByName(plan(rows))
-            rows, size = [], 0
-    if rows:
-        out = plan(rows) if out is None else out.unionByName(plan(rows))
-    if out is None:
-        return queries.sparkSession.createDataFrame([], f"query_id {q_type.simpleString()}, dense_rank long, margin double")
-    found = out.groupBy("query_id").agg((1 + F.sum("above")).alias("dense_rank"), F.round(F.max("own") - F.max("best"), 4).alias("margin"))
+    base = F.round(F.aggregate(F.zip_with(vec("vec"), vec("own_vec"), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x), 9)
+    asked = blocks(own.withColumn("own", base), "query_id", QUERIES, {"own_id": F.col("own_id"), "own": F.col("own")}, "q_")
+    met = _met(asked, *_size(queries), blocks(chunks, "chunk_id", ROWS))
+    found = met.mapInArrow(_above, f"query_id {queries.schema['query_id'].dataType.simpleString()}, above long, best double, own double")
+    found = found.groupBy("query_id").agg((1 + F.sum("above")).alias("dense_rank"), F.round(F.max("own") - F.max("best"), 4).alias("margin"))
     return found.select("query_id", "dense_rank", F.when(F.abs("margin") != float("inf"), F.col("margin")).alias("margin"))
 
 

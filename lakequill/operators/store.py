@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakequill.functions.text import represent
@@ -94,20 +94,24 @@ def greedy_batches(rows: DataFrame, key: str, order: str, cost: Column, most: in
     return rows.join(folded.select(key, F.col("x.o").alias(order), F.col("x.batch").alias("batch")), [key, order])
 
 
-def materialized(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write df to the shared folder that the cluster names, (in local mode a local one where none is named) and read it back."""
+def fresh_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder that the cluster names; in local mode, where none is named, in a local one."""
     import tempfile
     import uuid
 
-    spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="lakequill-")
-    path = f"{folder.rstrip('/')}/lakequill/{label}-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/lakequill/{label}-{uuid.uuid4().hex}"
+
+
+def materialized(df: DataFrame, label: str) -> DataFrame:
+    """Cut the lineage: write df to the shared folder and read it back."""
+    path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def numbered_batches(rows: DataFrame, taken: DataFrame, key: str, size: int, first: int = 0) -> DataFrame:

@@ -14,6 +14,7 @@ from lakequill.functions import ids, vectors
 from lakequill.functions import text as T
 from lakequill.operators import ingest, qa, quotes, store, web
 from lakequill.plans.registry import query
+from lakequill.sources import tables
 
 W = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+')"
 WS = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
@@ -79,9 +80,14 @@ def stat_counters(t) -> DataFrame:
     return t("documents").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT page_id, html LIKE '%<article>%' AS has_items FROM pages WHERE html IS NOT NULL")
+@query("SELECT conv_id::VARCHAR AS id, list(text ORDER BY turn) AS items FROM conversations GROUP BY conv_id HAVING conv_id % 3 > 0")
 def layer_items(t) -> DataFrame:
-    return t("pages").where("html is not null").select("page_id", F.col("html").contains("<article>").alias("has_items"))
+    """A working table with rows that have no items, and rows with an error, read as a layer without either."""
+    rows = t("conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("items"))
+    bad = F.col("conv_id") % 3 == 0
+    rows = rows.select(F.col("conv_id").cast("string").alias("id"), F.when(~bad | (F.col("conv_id") % 2 == 0), F.col("items")).alias("items"), F.when(bad, F.lit("failed")).alias("error"))
+    path = store.materialized(rows, "layer").inputFiles()[0].rsplit("/", 1)[0]
+    return tables.layer(rows.sparkSession, path, "array<string>", with_errors=False)
 
 
 # Text
@@ -97,9 +103,22 @@ def prefix_sets(t) -> DataFrame:
     return t("benchmark").select("item_id", J(T.prefixes(F.col("text"))).alias("prefixes"))
 
 
-@query(r"SELECT doc_id, trim(regexp_replace(lower(text), '[^\p{L}\p{N}_]+', ' ', 'g')) AS norm FROM documents WHERE length(text) < 300")
+@query(r"SELECT doc_id, trim(regexp_replace(lower(text), '[^\p{L}\p{N}_]+', ' ', 'g')) AS norm FROM documents")
 def question_norms(t) -> DataFrame:
-    return t("documents").where(F.length("text") < 300).select("doc_id", T.question_norm(F.col("text")).alias("norm"))
+    return t("documents").select("doc_id", T.question_norm(F.col("text")).alias("norm"))
+
+
+@query(
+    r"""WITH p AS (SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title FROM pages),
+    n AS (SELECT page_id, trim(regexp_replace(lower(title), '[^\p{L}\p{N}_]+', ' ', 'g')) AS norm FROM p)
+    SELECT page_id, norm AS title_norm, page_id % 2 = 0 AND norm <> '' OR norm = '' AS in_question FROM n"""
+)
+def titles_in_questions(t) -> DataFrame:
+    """Half of the questions hold the title between marks; the page's own has a note behind it."""
+    title = F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1)
+    question = F.concat(F.lit("What is «"), F.when(F.col("page_id") % 2 == 0, title).otherwise("other"), F.lit("»?"))
+    norm = T.title_norm(F.concat(title, F.lit(" (a town)")))
+    return t("pages").select("page_id", norm.alias("title_norm"), T.question_norm(question).contains(norm).alias("in_question"))
 
 
 @query(
@@ -145,11 +164,14 @@ def page_predicates(t) -> DataFrame:
 
 
 @query(
-    r"""WITH p AS (SELECT page_id, html, CASE page_id % 5 WHEN 0 THEN 404 ELSE 200 END AS status, CASE page_id % 3 WHEN 0 THEN 'application/pdf' ELSE 'Text/HTML; charset=utf-8' END AS ct FROM pages)
-    SELECT page_id, CASE WHEN status >= 400 THEN 'http ' || status WHEN NOT contains(lower(ct), 'html') THEN 'not html' WHEN contains(lower(left(html, 20000)), 'just a moment...') THEN 'bot check' END AS error FROM p"""
+    r"""WITH p AS (SELECT page_id, left(html, 19000) || CASE page_id % 4 WHEN 0 THEN '<i>Just a moment...</i>' WHEN 1 THEN '<i>Just a Moment</i><b>CloudFlare</b>' WHEN 2 THEN '<i id="CF-chl-widget">' ELSE '' END AS html,
+      CASE page_id % 5 WHEN 0 THEN 404 ELSE 200 END AS status, CASE page_id % 3 WHEN 0 THEN 'application/xhtml+xml' ELSE 'Text/HTML; charset=utf-8' END AS ct FROM pages)
+    SELECT page_id, CASE WHEN status >= 400 THEN 'http ' || status WHEN page_id % 3 = 0 THEN 'not html' WHEN page_id % 4 IN (1, 2) THEN 'bot check' END AS error FROM p"""
 )
 def response_class(t) -> DataFrame:
-    p = t("pages").withColumns({"status": F.when(F.col("page_id") % 5 == 0, 404).otherwise(200), "ct": F.when(F.col("page_id") % 3 == 0, "application/pdf").otherwise("Text/HTML; charset=utf-8")})
+    i = F.col("page_id")
+    check = F.when(i % 4 == 0, "<i>Just a moment...</i>").when(i % 4 == 1, "<i>Just a Moment</i><b>CloudFlare</b>").when(i % 4 == 2, '<i id="CF-chl-widget">').otherwise("")
+    p = t("pages").withColumns({"status": F.when(i % 5 == 0, 404).otherwise(200), "ct": F.when(i % 3 == 0, "application/xhtml+xml").otherwise("Text/HTML; charset=utf-8"), "html": F.concat(F.left("html", F.lit(19_000)), check)})
     return p.select("page_id", T.response_error(F.col("status"), F.col("ct"), F.col("html")).alias("error"))
 
 
@@ -161,9 +183,10 @@ def html_lang_title(t) -> DataFrame:
     return t("pages").select("page_id", T.html_language(F.col("html")).alias("language"), T.html_title(F.col("html")).alias("title"))
 
 
-@query(r"SELECT item_id, lower(text) = lower(regexp_replace('[edit | edit source]' || text, '^\[[^|]*\| [^\]]*\]', '')) AS same FROM benchmark")
+@query("SELECT item_id, 'x' || text || ' [note] [a|b]y' || left(text, 5) AS plain FROM benchmark")
 def edit_links(t) -> DataFrame:
-    return t("benchmark").select("item_id", (F.lower("text") == F.lower(T.without_edit_links(F.concat(F.lit("[edit | edit source]"), "text")))).alias("same"))
+    linked = F.concat(F.lit("x[edit | edit source]"), "text", F.lit(" [note] [a|b][Bearbeiten | Quelltext bearbeiten]y"), F.left("text", F.lit(5)))
+    return t("benchmark").select("item_id", T.without_edit_links(linked).alias("plain"))
 
 
 @query(r"SELECT doc_id, 'T' || chr(10) || lang || chr(10) || text AS embedded, doc_id || ':512:3' AS chunk_id, doc_id::VARCHAR AS page FROM documents WHERE text <> ''")
@@ -179,12 +202,13 @@ def cache_keys(t) -> DataFrame:
 
 
 @query(
-    r"""WITH u AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path, regexp_replace(url, '[?#].*$', '') || '/x' AS link FROM pages)
-    SELECT page_id, host, path <> '' OR true AS child FROM u"""
+    r"""SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, page_id % 4 = 0 AND regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) <> '' AS child FROM pages"""
 )
 def url_helpers(t) -> DataFrame:
     url = F.col("url")
-    link = F.concat(F.regexp_replace(F.regexp_replace(url, r"[?#].*$", ""), "/+$", ""), F.lit("/x"))
+    plain = F.regexp_replace(F.regexp_replace(url, r"[?#].*$", ""), "/+$", "")
+    kind = F.col("page_id") % 4  # a child, a sibling whose name goes on, the same path on another host, the page itself
+    link = F.when(kind == 0, F.concat(plain, F.lit("/x?y"))).when(kind == 1, F.concat(plain, F.lit("x"))).when(kind == 2, F.concat(F.regexp_replace(plain, "^([a-z]+://)", "$1other."), F.lit("/x"))).otherwise(plain)
     return t("pages").select("page_id", F.try_parse_url(url, F.lit("HOST")).alias("host"), T.is_child_page(url, link).alias("child"))
 
 
@@ -556,9 +580,16 @@ def extracted_pages(t) -> DataFrame:
     return web.extract_pages(t("pages").select("url", "html"))
 
 
-@query()
+@query(
+    """SELECT 'https://example.org/' || page_id || '/' AS url, 'listing' AS kind, 'Event ' || page_id || ' number ' || k AS label, 'https://example.org/' || page_id || '/events/' || k AS target
+    FROM pages, range(5 + page_id % 4) r(k)"""
+)
 def page_links(t) -> DataFrame:
-    return web.extract_pages(t("pages").select("url", "html")).select("url", "kind", F.explode_outer("links").alias("link")).select("url", "kind", "link.label", F.col("link.url").alias("target"))
+    """Pages of cards, each with a link below the page."""
+    card = lambda k: F.concat(F.lit('<article class="card"><h3><a href="events/'), k.cast("string"), F.lit('"><b>Event</b> '), F.col("page_id").cast("string"), F.lit(" number "), k.cast("string"), F.lit("</a></h3><p>It starts at noon in the old town hall, as it does each year.</p></article>"))
+    cards = F.array_join(F.transform(F.sequence(F.lit(0), (F.lit(4) + F.col("page_id") % 4).cast("int")), card), "")
+    pages = t("pages").select(F.concat(F.lit("https://example.org/"), "page_id", F.lit("/")).alias("url"), F.concat(F.lit("<html><body><main>"), cards, F.lit("</main></body></html>")).alias("html"))
+    return web.extract_pages(pages).select("url", "kind", F.explode_outer("links").alias("link")).select("url", "kind", "link.label", F.col("link.url").alias("target"))
 
 
 @query()

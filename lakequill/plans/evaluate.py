@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakequill.operators import evaluation
+from lakequill.operators.store import materialized
 from lakequill.plans.catalog import Corpus, ensure_ready, resolve, retrieve
 from lakequill.plans.reports import bold_best_table, plain_table
 from lakequill.sources.tables import write_text
@@ -51,8 +52,7 @@ def run(questions: DataFrame, qrels: DataFrame, corpus: Corpus, methods: Sequenc
                 ranked.write.mode("overwrite").parquet(path)
                 ranked = spark.read.parquet(path)
             else:
-                ranked = ranked.persist()
-                ranked.count()
+                ranked = materialized(ranked, f"ranking-{name}")
             seconds[name] = time.monotonic() - began
         out = ranked if out is None else out.unionByName(ranked)
     return out, seconds

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lakequill.functions import text as T
 from lakequill.functions.ids import stable_order
-from lakequill.operators import dense, evaluation, geo, ranking, sparse
+from lakequill.operators import dense, evaluation, geo, ranking, sparse, store
 from lakequill.operators.chunking import chunk_pages
 from lakequill.plans.registry import query
 
@@ -87,6 +87,15 @@ def bm25_topk(t) -> DataFrame:
     return bm25_ranking(t).withColumn("score", r6(F.col("score")))
 
 
+@query(f"WITH {BM25} SELECT qid AS query_id, rank, id AS chunk_id, round(score, 6) AS score FROM sparse WHERE rank <= 10 AND score > 0")
+def bm25_indexed_topk(t) -> DataFrame:
+    """The index is written, then asked."""
+    docs = corpus(t)
+    path = store.fresh_path(docs.sparkSession, "bm25-index")
+    sparse.write_index(docs, path)
+    return sparse.indexed_bm25(asked(t), docs.sparkSession.read.parquet(path)).withColumn("score", r6(F.col("score")))
+
+
 @query(
     f"""WITH {BM25}, {QRELS}, own AS (SELECT qid, min(id) AS own_id FROM rel GROUP BY 1)
     SELECT own.qid AS query_id, coalesce(rank, 101) AS bm25_rank FROM own LEFT JOIN sparse ON own.qid = sparse.qid AND own_id = id"""

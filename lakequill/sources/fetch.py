@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import UTC, datetime
 from typing import Protocol
+from uuid import NAMESPACE_URL, uuid5
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -39,7 +40,10 @@ def urllib_fetcher(url: str, timeout: float, agent: str = "lakequill") -> Respon
     try:
         with urllib.request.urlopen(request, timeout=timeout) as r:
             charset = r.headers.get_content_charset() or "utf-8"
-            return Response(r.url, r.status, r.headers.get("content-type"), r.read(MOST_DOCUMENT_BYTES).decode(charset, "replace"))
+            body = r.read(MOST_DOCUMENT_BYTES + 1)
+            if len(body) > MOST_DOCUMENT_BYTES:
+                raise ValueError(f"more than {MOST_DOCUMENT_BYTES} bytes")
+            return Response(r.url, r.status, r.headers.get("content-type"), body.decode(charset, "replace"))
     except urllib.error.HTTPError as e:
         return Response(url, e.code, e.headers.get("content-type"), e.read(1 << 20).decode("utf-8", "replace"))
 
@@ -91,6 +95,29 @@ def fetch_all(urls: DataFrame, get: Fetcher = urllib_fetcher, other: Fetcher | N
     return urls.select("source", "url").repartition(hosts).mapInPandas(run, SCHEMA)
 
 
+def with_text(fetched: DataFrame, render: Callable[[str], str] | None = None, convert: Callable[[str], tuple[str, str | None]] | None = None) -> DataFrame:
+    """Fetch results to rows of the fetched log: the page's Markdown instead of its HTML. What isn't a usable page has its reason as error and no text."""
+    from pyspark.sql import functions as F
+
+    from lakequill.functions.text import response_error
+    from lakequill.schemas import FETCHED
+
+    refused = response_error(F.col("status"), F.col("content_type"), F.col("html"))
+    rows = fetched.withColumn("error", F.coalesce("error", refused))
+    names = [c.split()[0] for c in FETCHED.split(", ")]
+
+    def run(source: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in source:
+            out = []
+            for r in pdf.itertuples(index=False):
+                page = (None, None, "", None, 0, None, None, None, None, None) if isinstance(r.error, str) else extract_with(r.final_url or r.url, r.html or "", render, convert)
+                values = r._asdict() | {"id": str(uuid5(NAMESPACE_URL, r.url)), "text": page[2], "sha256": page[3], "char_count": page[4], "language": page[5], "title": page[6], "error": r.error if isinstance(r.error, str) else page[9]}
+                out.append([values[n] for n in names])
+            yield pd.DataFrame(out, columns=names).astype({"status": "Int32"})
+
+    return rows.mapInPandas(run, FETCHED)
+
+
 def first_document(links: list[dict], convert: Callable[[str], tuple[str, str | None]]) -> tuple[str, str | None, str | None]:
     """(markdown, url, error) of the first link that gives text; an error ends the search. convert returns (markdown, error)."""
     for link in links:

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
-from collections.abc import Iterable, Sequence
+import re
+from collections.abc import Iterable, Iterator, Sequence
 from typing import Any
+from urllib.parse import unquote
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakequill import schemas
 
+#: Bytes of a file that are hashed at once.
+BLOCK = 1 << 20
+
 
 class Dataset:
     """A folder of tables. Filters and columns reach the Parquet scan; chunks and vectors are partitioned by size."""
@@ -58,6 +65,15 @@ class Dataset:
             return chunks.withColumn("vec", F.lit(None).cast("array<float>"))
         return chunks.join(found, "chunk_id", "left")
 
+    def optional(self, table: str, schema: str, columns: Sequence[str] | None = None, **where: Any) -> DataFrame:
+        """load, of a table that may be missing: then it is empty."""
+        try:
+            return self.load(table, columns, **where)
+        except Exception as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return self.spark.createDataFrame([], schema)
+
     def write(self, table: str, df: DataFrame, partition_by: Sequence[str] = ()) -> None:
         """Replace the table: written beside it, then renamed."""
         replace(df, self.path(table), partition_by)
@@ -80,6 +96,17 @@ def replace(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     fs.delete(old, True)
 
 
+def replace_partitions(df: DataFrame, path: str, partition_by: Sequence[str]) -> None:
+    """Replace the partitions that df has rows of and leave all others; df may read from the table itself, as its rows are written beside it first."""
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    fresh = jvm.org.apache.hadoop.fs.Path(path + ".part")
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path + ".part")
+    again = spark.read.schema(df.schema).parquet(path + ".part")
+    again.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(*partition_by).parquet(path)
+    fresh.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(fresh, True)
+
+
 def source_urls(spark: SparkSession, path: str) -> DataFrame:
     """(source, url) of a JSON array or of JSON lines, whichever the file is; trimmed, rows without either dropped; an empty file has none."""
     # One file that people write by hand: its first character says which of the two it is.
@@ -120,9 +147,24 @@ def export(tables: Iterable[DataFrame], path: str) -> None:
 
 
 def checksums(spark: SparkSession, path: str) -> DataFrame:
-    """(name, sha256) of the files below a folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha256")).where(~F.col("name").startswith("SHA256SUMS"))
+    """(name, sha256) of the files below a folder, of any size: read in blocks where they lie, never as one value."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")  # without content nothing is read
+
+    def run(source: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for pdf in source:
+            rows = []
+            for uri in pdf["path"]:
+                store, at = fs.FileSystem.from_uri("file://" + uri.removeprefix("file:") if re.match("file:/[^/]", uri) else uri)
+                digest = hashlib.sha256()
+                with store.open_input_stream(unquote(at)) as stream:
+                    while block := stream.read(BLOCK):
+                        digest.update(block)
+                rows.append((unquote(at).rsplit("/", 1)[-1], digest.hexdigest()))
+            yield pd.DataFrame(rows, columns=["name", "sha256"])
+
+    return files.mapInPandas(run, "name string, sha256 string").where(~F.col("name").startswith("SHA256SUMS"))
 
 
 def write_text(text: str, *paths: str) -> None:
