@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 TOKEN = r"[\p{L}\p{N}]+"
 WORD = r"[\p{L}\p{N}_]+"
+#: What gives away page chrome, and pages that must be rendered to show text.
 CHROME_MARKERS = ("accessibility provided by", "](#)")
 RENDER_MARKERS = ("enable javascript", "please enable javascript", "just a moment", "access denied", "captcha", *CHROME_MARKERS)
 
@@ -31,6 +32,11 @@ def question_norm(s: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(s), r"[^\p{L}\p{N}_]+", " "))
 
 
+def place_key(s: Column) -> Column:
+    """What a place's name is cached under: lower-cased, white space folded."""
+    return normalize(F.lower(s))
+
+
 def title_norm(s: Column) -> Column:
     """question_norm of a title without its closing (...)."""
     return question_norm(F.regexp_replace(s, r"\s*\([^()]*\)\s*$", ""))

@@ -154,6 +154,12 @@ def list_specs(items: DataFrame, least: int = 2, most: int = 20) -> DataFrame:
     return rows.join(groups, ["category", "country"]).groupBy("category", "country", "n").agg(F.array_sort(F.collect_list("id")).alias("ids"))
 
 
+def pages_with_items(pages: DataFrame, layer: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """pages (id, ...) that have generated items, with the items and the model that made them; only pages of ids, if given. Layer rows with an error don't count."""
+    wanted = pages if ids is None else pages.join(ids.select("id").distinct(), "id", "left_semi")
+    return wanted.join(layer.where("items is not null and error is null").select("id", "items", F.col("model").alias("gen_model")), "id")
+
+
 def partners(items: DataFrame) -> DataFrame:
     """(id, partner): another item of the same language, country and a shared category, the least by the hash of both ids; none if there is none.
 
@@ -207,7 +213,7 @@ def balanced_subset(rows: DataFrame, group: str, key: str, most: int = 400) -> D
 
 
 def round_robin(rows: DataFrame, group: str, key: str) -> DataFrame:
-    """rows with turn and place: the groups take turns, each in the order of its keys' hashes."""
+    """rows with turn, the place within their group: the groups take turns, each in the order of its keys' hashes. Order by (turn, group) to walk them."""
     turn = F.row_number().over(Window.partitionBy(group).orderBy(crc(F.col(key)), F.col(key)))
     return rows.withColumn("turn", turn)
 

@@ -114,6 +114,21 @@ def materialized(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def filled(rows: DataFrame, notes: DataFrame, column: str, key: str = "id") -> DataFrame:
+    """rows whose column is the note of their key, where there is one; notes (key, text) of keys that are gone are skipped. A present note wins, also an empty one."""
+    noted = notes.select(F.col(key).alias("__key"), F.col("text").alias("__note"), F.lit(True).alias("__noted"))
+    joined = rows.join(noted, F.col(key) == F.col("__key"), "left")
+    return joined.withColumn(column, F.when(F.col("__noted"), F.col("__note")).otherwise(F.col(column))).select(*rows.columns)
+
+
+def done_everywhere(tasks: Sequence[DataFrame], key: str = "id") -> DataFrame:
+    """The keys that every task's done set holds."""
+    found = tasks[0].select(key).distinct()
+    for other in tasks[1:]:
+        found = found.join(other.select(key), key, "left_semi")
+    return found
+
+
 def numbered_batches(rows: DataFrame, taken: DataFrame, key: str, size: int, first: int = 0) -> DataFrame:
     """(key, batch): rows not yet taken, `size` to a batch in key order, numbered on from `first`.
 

@@ -292,21 +292,26 @@ _ITEMS = f"i AS (SELECT conv_id, turn, list_distinct({W.format('text')}) AS ws F
 
 
 @query(
-    f"""WITH {_ITEMS} SELECT DISTINCT a.conv_id AS page_id, a.turn AS n FROM i a JOIN i b ON a.conv_id = b.conv_id AND b.turn < a.turn
-    WHERE len(list_intersect(a.ws, b.ws)) >= 0.1 * greatest(len(list_distinct(list_concat(a.ws, b.ws))), 1)"""
+    f"""WITH i AS (SELECT conv_id, turn, list_distinct({W.format("CASE WHEN turn % 3 = 2 THEN text || ' again' ELSE text END")}) AS ws FROM (SELECT * FROM conversations UNION ALL SELECT conv_id, turn + 1000, role, text || ' ones more' FROM conversations WHERE conv_id % 2 = 0))
+    SELECT DISTINCT a.conv_id AS page_id, a.turn AS n FROM i a JOIN i b ON a.conv_id = b.conv_id AND b.turn < a.turn
+    WHERE len(list_intersect(a.ws, b.ws)) >= 0.8 * greatest(len(list_distinct(list_concat(a.ws, b.ws))), 1)"""
 )
 def near_dup_items_jaccard(t) -> DataFrame:
-    items = t("conversations").select(F.col("conv_id").alias("page_id"), F.col("turn").alias("n"), F.col("text").alias("question"))
-    return qa.near_repeats(items, 0.1)
+    """Every other page has each item once more with two words added: long ones repeat, short ones don't."""
+    c = t("conversations").select("conv_id", "turn", "text")
+    both = c.unionByName(c.where("conv_id % 2 = 0").select("conv_id", F.col("turn") + 1000, F.concat("text", F.lit(" ones more"))).toDF("conv_id", "turn", "text"))
+    question = F.when(F.col("turn") % 3 == 2, F.concat("text", F.lit(" again"))).otherwise(F.col("text"))
+    return qa.near_repeats(both.select(F.col("conv_id").alias("page_id"), F.col("turn").alias("n"), question.alias("question")))
 
 
 @query(
     f"""WITH p AS (SELECT conv_id, count(*) AS n, sum(length(text)) AS chars FROM conversations GROUP BY 1), {_ITEMS},
     ttl AS (SELECT conv_id, {STEMS.format("'Title ' || text")} AS tw FROM conversations WHERE turn = 0),
     pt AS (SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS body FROM conversations GROUP BY 1),
-    ps AS (SELECT conv_id, length(body) AS chars FROM pt),
+    ps AS (SELECT conv_id, length(body) + 9 AS chars FROM pt),
     d AS (SELECT DISTINCT a.conv_id, a.turn FROM i a JOIN i b ON a.conv_id = b.conv_id AND b.turn < a.turn WHERE len(list_intersect(a.ws, b.ws)) >= 0.8 * greatest(len(list_distinct(list_concat(a.ws, b.ws))), 1))
     SELECT c.conv_id AS page_id, c.turn AS n, concat_ws(',', CASE WHEN d.turn IS NOT NULL THEN 'dup' END,
+      CASE WHEN c.turn % 3 = 1 THEN 'query_leak' END, CASE WHEN c.turn % 5 IN (1, 2) THEN 'fact_unmatched' END,
       CASE WHEN len(list_intersect(tw, list_concat({STEMS.format("c.text")}, i.ws))) = 0 THEN 'no_anchor' END, CASE WHEN p.n > 1 AND ps.chars / p.n < 400 THEN 'padded' END) AS flags
     FROM conversations c JOIN p USING (conv_id) JOIN ps USING (conv_id) JOIN ttl USING (conv_id) JOIN i ON i.conv_id = c.conv_id AND i.turn = c.turn LEFT JOIN d ON d.conv_id = c.conv_id AND d.turn = c.turn"""
 )
@@ -314,18 +319,27 @@ def rule_flags(t) -> DataFrame:
     c = t("conversations")
     texts = c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), " ").alias("text"))
     pages = texts.join(c.where("turn = 0").select("conv_id", F.concat(F.lit("Title "), "text").alias("title")), "conv_id").withColumnRenamed("conv_id", "page_id")
-    items = c.select(F.col("conv_id").alias("page_id"), F.col("turn").alias("n"), F.col("text").alias("question"), F.lit("").alias("query"), F.array(F.lit("")).alias("facts"))
+    # Facts: words of the page, an unknown word among unknown ones, an unknown number; the query gives a fact's number away or has another one.
+    n = F.col("turn")
+    number = F.when(n % 3 == 1, "70707070 11").otherwise("31313131")
+    fact = F.when(n % 5 == 1, F.lit("Zzyzx qwrtp")).when(n % 5 == 2, F.lit("it is 90909090 long")).otherwise(F.lit(""))
+    known = F.when(n % 3 == 1, F.lit("70707070")).otherwise(F.lit(""))
+    texts = texts.withColumn("text", F.col("text"))
+    pages = pages.withColumn("text", F.concat("text", F.lit(" 70707070")))
+    items = c.select(F.col("conv_id").alias("page_id"), n.alias("n"), F.col("text").alias("question"), F.concat(F.lit("How long: "), number).alias("query"), F.array(fact, known).alias("facts"))
     return qa.rule_flags(items, pages).select("page_id", "n", F.array_join("flags", ",").alias("flags"))
 
 
 @query(
-    """SELECT doc_id, toxic = 0 AND quality = 1 AS challenge_ok, coalesce(quality, 0) * 20 > 10 AND toxic IS NOT NULL AND toxic * 20 > 10 AS ambiguous FROM documents LEFT JOIN labels USING (doc_id) WHERE toxic IS NOT NULL
+    """SELECT doc_id, toxic = 0 AND quality = 1 AND doc_id % 7 > 0 AND doc_id % 11 > 0 AS challenge_ok, coalesce(quality, 0) * 20 > 10 AND toxic IS NOT NULL AND toxic * 20 > 10 AS ambiguous FROM documents LEFT JOIN labels USING (doc_id) WHERE toxic IS NOT NULL
     UNION ALL SELECT doc_id, false, false FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"""
 )
 def quality_predicate(t) -> DataFrame:
     rows = t("documents").join(t("labels"), "doc_id", "left")
     named = rows.withColumns({"facts_supported": F.when(F.col("quality") == 1, "yes").otherwise("no"), "self_answering": F.col("toxic") == 1})
-    return named.select("doc_id", qa.challenge_ok(flags=()).alias("challenge_ok"), qa.likely_ambiguous(F.col("quality") * 20, F.col("toxic") * 20).alias("ambiguous"))
+    unset = {"fluent": F.col("doc_id") % 7 > 0, "query_ok": F.when(F.col("doc_id") % 11 > 0, F.lit(True))}  # a flag that is off, one that isn't known
+    named = named.withColumns({f: unset.get(f, F.lit(True)) for f in qa.CHALLENGE_LABELS})
+    return named.select("doc_id", qa.challenge_ok().alias("challenge_ok"), qa.likely_ambiguous(F.col("quality") * 20, F.col("toxic") * 20).alias("ambiguous"))
 
 
 @query(
@@ -361,14 +375,14 @@ def stale_answers(t) -> DataFrame:
     return qa.current_answers(answers, c).select("page_id", "src_j")
 
 
-_LABELLED = """r AS (SELECT lang AS page_id, d.doc_id AS j, lower(trim(left(text, 5))) AS q, toxic = 1 AS duplicate, quality = 0 AS self_answering, quality = 1 AS fluent,
+_LABELLED = r"""r AS (SELECT lang AS page_id, d.doc_id AS j, trim(regexp_replace(lower(text), '[^\p{L}\p{N}_]+', ' ', 'g')) AS q, toxic = 1 AS duplicate, quality = 0 AS self_answering, quality = 1 AS fluent,
     CASE WHEN l.doc_id % 7 = 0 THEN 'no' ELSE 'yes' END AS facts_supported, CASE WHEN l.doc_id % 3 = 0 THEN 'drop' ELSE 'keep' END AS verdict FROM documents d JOIN labels l USING (doc_id))"""
 
 
 def _labelled(t) -> DataFrame:
     rows = t("documents").join(t("labels"), "doc_id")
     return rows.select(
-        F.col("lang").alias("page_id"), F.col("doc_id").alias("j"), F.left("text", F.lit(5)).alias("question"), (F.col("toxic") == 1).alias("duplicate"), (F.col("quality") == 0).alias("self_answering"), (F.col("quality") == 1).alias("fluent"),
+        F.col("lang").alias("page_id"), F.col("doc_id").alias("j"), F.col("text").alias("question"), (F.col("toxic") == 1).alias("duplicate"), (F.col("quality") == 0).alias("self_answering"), (F.col("quality") == 1).alias("fluent"),
         F.when(F.col("doc_id") % 7 == 0, "no").otherwise("yes").alias("facts_supported"), F.when(F.col("doc_id") % 3 == 0, "drop").otherwise("keep").alias("verdict"),
     )
 
@@ -538,10 +552,11 @@ def export_join(t) -> DataFrame:
     return ingest.export_pages(log, t("documents").select(F.col("doc_id").alias("url"), "lang")).select("event_id", "lang")
 
 
-@query("SELECT doc_id AS n, max(doc_id) OVER (PARTITION BY source, lang, text) AS role FROM documents WHERE doc_id % 2 = 0")
+@query("SELECT doc_id AS n, max(doc_id) FILTER (lang <> 'de') OVER (PARTITION BY source, lang, text) AS role FROM documents")
 def carry_over(t) -> DataFrame:
-    d = t("documents").select(F.lit(512).alias("size"), F.col("source").alias("page_id"), F.col("lang").alias("title"), F.lit(None).cast("string").alias("breadcrumb"), "text", F.col("doc_id").alias("n")).where("n % 2 = 0")
-    return store.carry_over(d, d.withColumns({"pos": F.col("n"), "role": F.col("n")}), ["role"]).select("n", "role")
+    """All documents are new chunks; the old ones lack a language, whose chunks get no role."""
+    d = t("documents").select(F.lit(512).alias("size"), F.col("source").alias("page_id"), F.col("lang").alias("title"), F.lit(None).cast("string").alias("breadcrumb"), "text", F.col("doc_id").alias("n"))
+    return store.carry_over(d, d.where("title <> 'de'").withColumns({"pos": F.col("n"), "role": F.col("n")}), ["role"]).select("n", "role")
 
 
 @query("SELECT DISTINCT sha256(concat_ws(chr(0), 'p', 'm', 'document', text)) AS key FROM documents WHERE text NOT IN (SELECT text FROM documents WHERE doc_id % 3 = 0)")
