@@ -21,6 +21,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lakequill.llm.common import UPPER, batches, column, small_or_not, text_of, written
 
@@ -114,19 +115,20 @@ def _spilled(path: str) -> Iterator[tuple]:
                 return
 
 
-LOCAL = pa.schema(
-    [("part", pa.int64()), ("cls", pa.int64()), ("row", pa.int64()), ("id", pa.int64()), ("sha", pa.string()),
-     ("n", pa.int64()), ("hash", pa.int64()), ("content", pa.binary())]
-)
-GLOBAL = pa.schema([("part", pa.int64()), ("cls", pa.int64()), ("keep_id", pa.int64()), ("group_size", pa.int64()), ("keep_part", pa.int64()), ("keep_row", pa.int64())])
+def _local(kind: pa.DataType) -> pa.Schema:
+    return pa.schema([("part", pa.int64()), ("cls", pa.int64()), ("row", pa.int64()), ("id", kind), ("sha", pa.string()), ("n", pa.int64()), ("hash", pa.int64()), ("content", pa.binary())])
+
+
+def _global(kind: pa.DataType) -> pa.Schema:
+    return pa.schema([("part", pa.int64()), ("cls", pa.int64()), ("keep_id", kind), ("group_size", pa.int64()), ("keep_part", pa.int64()), ("keep_row", pa.int64())])
 
 
 def _better(a: tuple, b: tuple) -> tuple:
     """Of two (id, part, row) the one to keep: the largest id, nulls lowest, then the earliest row."""
-    return max(a, b, key=lambda x: (x[0] is not None, x[0] or 0, -x[1], -x[2]))
+    return max(a, b, key=lambda x: (x[0] is not None, x[0], -x[1], -x[2]))
 
 
-def _combine(budget: int) -> Callable:
+def _combine(budget: int, kind: pa.DataType) -> Callable:
     """Input rows to a row each without content, and a row with content for each class of the partition."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,12 +161,12 @@ def _combine(budget: int) -> Callable:
                     row += 1
             yield from classes_of(table, base)
 
-        yield from batches(rows(), LOCAL)
+        yield from batches(rows(), _local(kind))
 
     return run
 
 
-def _resolve(budget: int) -> Callable:
+def _resolve(budget: int, kind: pa.DataType) -> Callable:
     """The classes of the partitions to classes of the whole table."""
 
     def merge(a: list, b: list) -> list:
@@ -184,7 +186,7 @@ def _resolve(budget: int) -> Callable:
                 for part, cls in members:
                     yield part, cls, best[0], n, best[1], best[2]
 
-        yield from batches(out(), GLOBAL)
+        yield from batches(out(), _global(kind))
 
     return run
 
@@ -194,34 +196,36 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Texts are equal when identical after lower-casing A-Z; a null text is an empty one. Of equal texts the row with the
     largest id stays; null ids rank lowest; of repeated rows with the same id the earliest in its partition stays, so
-    exactly one row of a group is kept. An empty table gives an empty result; columns besides the two are not read.
+    exactly one row of a group is kept. Ids may be numbers or text (ordered by code points). An empty table gives an empty result; columns besides the two are not read.
     budget_bytes bounds the contents that a task's table holds; more goes to spill files that the task removes.
     """
-    narrow = docs.select(column(docs, id_col).cast("long").alias("id"), column(docs, text_col).cast("string").alias("text"))
-    local = written(narrow.mapInArrow(_combine(budget_bytes), "part long, cls long, row long, id long, sha string, n long, hash long, content binary"), "exact-local")
+    id_type = docs.schema[id_col].dataType
+    kind, arrow = id_type.simpleString(), to_arrow_type(id_type)
+    narrow = docs.select(column(docs, id_col).alias("id"), column(docs, text_col).cast("string").alias("text"))
+    local = written(narrow.mapInArrow(_combine(budget_bytes, arrow), f"part long, cls long, row long, id {kind}, sha string, n long, hash long, content binary"), "exact-local")
     classes = (
         local.where("content is not null").select("part", "cls", "row", "id", "n", "hash", "content")
         .repartition(F.col("hash"))
-        .mapInArrow(_resolve(budget_bytes), "part long, cls long, keep_id long, group_size long, keep_part long, keep_row long")
+        .mapInArrow(_resolve(budget_bytes, arrow), f"part long, cls long, keep_id {kind}, group_size long, keep_part long, keep_row long")
     )
     rows = local.where("content is null").select("part", "cls", "row", "id", "sha")
     return rows.join(classes, ["part", "cls"]).select(
-        F.col("id").alias("doc_id"), "keep_id", "group_size",
+        F.col("id").alias(id_col), "keep_id", "group_size",
         ((F.col("part") == F.col("keep_part")) & (F.col("row") == F.col("keep_row"))).alias("kept"), F.col("sha").alias("text_sha256"),
     )
 
 
 def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs that exact_dedup keeps, with all their columns."""
-    keys = exact_dedup(docs, id_col, text_col, **options).groupBy(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
+    keys = exact_dedup(docs, id_col, text_col, **options).groupBy(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha"))
     gone = keys.agg(F.count_if("kept").alias("__kept"), F.count(F.lit(1)).alias("__rows")).where("__kept < __rows")
     gone = written(gone, "exact-gone")
     sha = F.sha2(F.translate(text_of(column(docs, text_col)), UPPER, UPPER.lower()), 256)
-    same = column(docs, id_col).cast("long").eqNullSafe(F.col("__id")) & (sha == F.col("__sha"))
-    found = docs.join(small_or_not(gone.drop("__kept", "__rows"), gone.count()), same, "left_anti")
+    same = lambda keys: column(docs, id_col).eqNullSafe(keys["__id"]) & (sha == keys["__sha"])
+    found = docs.join(small_or_not(gone, gone.count()), same(gone), "left_anti")
     repeated = gone.where("__kept > 0")  # rows that repeat with their ids: one stays
     many = repeated.count()
     if many:
-        once = docs.withColumns({"__row_id": column(docs, id_col).cast("long"), "__row_sha": sha}).join(small_or_not(repeated.drop("__kept", "__rows"), many), same, "left_semi")
-        found = found.unionByName(once.dropDuplicates(["__row_id", "__row_sha"]).drop("__row_id", "__row_sha"))
+        held = docs.join(small_or_not(repeated, many), same(repeated), "left_semi").select(*(column(docs, c).alias(f"c{i}") for i, c in enumerate(docs.columns)), column(docs, id_col).alias("i"), sha.alias("s"))
+        found = found.unionAll(held.dropDuplicates(["i", "s"]).drop("i", "s").toDF(*docs.columns))
     return found

@@ -20,6 +20,8 @@ LETTERS = r"[\p{L}\p{M}\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_EPOCHS = 3.0
 ROWS_A_SLICE = 1_000
+#: The columns that mix adds.
+ADDED = ("__size", "__source_size", "__target", "__taken")
 
 
 def size_of(text: Column) -> Column:
@@ -111,20 +113,28 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     which it is met gives the words that are still missing (split) or is taken whole or not, whichever comes nearer.
     A null text has size 0 and takes 0; a null source is a source of its own and the last; rows that repeat in full
     share a key, count each and give the same words each; an empty table gives an empty result. Columns that docs has
-    besides stay; the same seed gives the same mix.
+    besides stay, but none may have the name of an added one; the same seed gives the same mix.
     """
-    keyed = _with_keys(docs, id_col, text_col, source_col, seed)
+    if clash := sorted(set(docs.columns) & set(ADDED)):
+        raise ValueError(f"docs has columns that are added: {', '.join(clash)}")
+    return _mixed(docs, id_col, text_col, source_col, weights, most, seed, split).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)), *ADDED)
+
+
+def _mixed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: Sequence[float], most: float, seed: int, split: bool) -> DataFrame:
+    """The columns of docs as c0, c1, ..., so that none can clash, and the added ones."""
+    name = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    keyed = _with_keys(docs.toDF(*name.values()), name[id_col], name[text_col], name[source_col], seed)
     plan, many = _plan(keyed, weights, most, split)
     out = keyed.join(small_or_not(plan, many), F.col("__source").eqNullSafe(F.col("__of")))
     below = (F.col("__key") < F.col("__cut")) | ((F.col("__key") == F.col("__cut")) & (F.col("__tie") < F.col("__cut_tie")))
     equal = (F.col("__key") == F.col("__cut")) & (F.col("__tie") == F.col("__cut_tie"))
     part = F.when(F.col("__cut").isNull(), F.lit(0)).when(equal, F.col("__cut_words")).when(below, F.col("__size")).otherwise(F.lit(0))
     taken = (F.col("__epochs") * F.col("__size") + part).cast("long").alias("__taken")
-    return out.select(*(column(docs, c) for c in docs.columns), "__size", "__source_size", "__target", taken)
+    return out.select(*name.values(), "__size", "__source_size", "__target", taken)
 
 
-def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """The documents of the mix, whole, each as often as it is taken, with the columns of docs."""
-    taken = mix(docs, split=False, **options)
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, most: float = MOST_EPOCHS, seed: int = 8) -> DataFrame:
+    """The documents of the mix, whole, each as often as it is taken, with the columns of docs, whatever their names. Documents without words aren't taken."""
+    taken = _mixed(docs, id_col, text_col, source_col, weights, most, seed, False)
     times = F.coalesce(F.floor(F.col("__taken") / F.nullif(F.col("__size"), F.lit(0))), F.lit(0)).cast("int")
-    return taken.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), times))).drop("__copy", "__size", "__source_size", "__target", "__taken")
+    return taken.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), times))).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))

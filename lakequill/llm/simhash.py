@@ -157,6 +157,8 @@ def gathered(fps: np.ndarray, bits: Sequence[int]) -> np.ndarray:
 
 
 BOTH, INDEXED, PROBING = 0, 1, 2
+#: Comparisons that are made at once.
+SMALL = 1 << 18
 
 
 def _mixed(part: int, value: np.ndarray) -> np.ndarray:
@@ -203,26 +205,50 @@ class Union:
 
 
 def linked(fps: np.ndarray, roles: np.ndarray, distance: int) -> Iterator[tuple[int, int]]:
-    """Links within one group that connect whatever is within the distance; fewer than its fingerprints, however dense it is."""
+    """Links within one group that connect whatever is within the distance; fewer than its fingerprints, however dense it is.
+
+    A large group goes on by the exact values of distance + 1 blocks of all bits, of which a pair within the distance
+    shares one: only fingerprints that do are compared.
+    """
     own = fps[roles != PROBING]
     ask = fps[roles != INDEXED]
     union = Union()
-    if len(own) * len(ask) <= 1 << 18:
-        a, b = np.nonzero(np.bitwise_count(ask[:, None] ^ own[None, :]) <= distance)
-        for x, y in zip(ask[a].tolist(), own[b].tolist()):
-            if x != y and union.join(x, y):
-                yield x, y
+    if len(own) * len(ask) <= SMALL:
+        yield from _near(ask, own, distance, union)
         return
-    # Breadth first: what has been reached isn't compared again, so a dense group costs a few passes. Probes are
-    # fingerprints too and links are verified on all bits, so all points of the group count alike.
-    left = np.unique(np.concatenate([own, ask]))
+    # Probes are fingerprints too and links are verified on all bits, so all points of the group count alike.
+    every = np.unique(np.concatenate([own, ask]))
+    width = -(-BITS // (distance + 1))
+    for k in range(distance + 1):
+        value = (every >> np.uint64(k * width)) & np.uint64((1 << width) - 1)
+        order = np.argsort(value, kind="stable")
+        cut = np.concatenate([[0], np.flatnonzero(np.diff(value[order])) + 1, [len(every)]])
+        for i in np.flatnonzero(np.diff(cut) > 1).tolist():
+            part = every[order[cut[i] : cut[i + 1]]]
+            if len(part) ** 2 <= SMALL:
+                yield from _near(part, part, distance, union)
+            else:
+                yield from _walked(part, distance, union)
+
+
+def _near(ask: np.ndarray, own: np.ndarray, distance: int, union: Union) -> Iterator[tuple[int, int]]:
+    """All pairs compared; those that the union doesn't connect yet."""
+    a, b = np.nonzero(np.bitwise_count(ask[:, None] ^ own[None, :]) <= distance)
+    for x, y in zip(ask[a].tolist(), own[b].tolist()):
+        if x != y and union.join(x, y):
+            yield x, y
+
+
+def _walked(left: np.ndarray, distance: int, union: Union) -> Iterator[tuple[int, int]]:
+    """Breadth first: what has been reached isn't compared again, so a dense group costs a few passes."""
     while len(left):
         front, left = [int(left[0])], left[1:]
         while front and len(left):
             x = front.pop()
             near = np.bitwise_count(left ^ np.uint64(x)) <= distance
             for y in left[near].tolist():
-                yield x, y
+                if union.join(x, y):
+                    yield x, y
                 front.append(y)
             left = left[~near]
 
@@ -303,4 +329,4 @@ def group_heads(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of docs whose id is the smallest of their near-duplicate group, with all their columns; rows without an id can't be told apart and stay."""
     gone = near_duplicates(docs, id_col, text_col, **options).where(F.col(id_col).isNotNull() & (F.col(id_col) != F.col("component_id"))).select(F.col(id_col).alias("__id")).distinct()
     gone = written(gone, "simhash-gone")
-    return docs.join(small_or_not(gone, gone.count()), column(docs, id_col) == F.col("__id"), "left_anti")
+    return docs.join(small_or_not(gone, gone.count()), column(docs, id_col) == gone["__id"], "left_anti")

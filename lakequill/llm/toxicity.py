@@ -190,10 +190,11 @@ class Model:
 
 
 def platt(raw: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Slope (0 at least) and shift of a logistic curve, by Newton steps with a little damping."""
+    """Slope and shift of a logistic curve, by Newton steps with a little damping. Votes that tell nothing, or the wrong way, give the slope 0 and the share of toxic examples."""
+    share = (label @ weight + 1) / (weight.sum() + 2) if len(raw) else 0.5
+    flat = 0.0, math.log(share / (1 - share))
     if not len(raw) or label.min() == label.max():
-        share = (label @ weight + 1) / (weight.sum() + 2) if len(raw) else 0.5
-        return 0.0, math.log(share / (1 - share))
+        return flat
     x = np.stack([raw, np.ones_like(raw)], axis=1)
     beta = np.array([4.0, -2.0])
     for _ in range(50):
@@ -204,7 +205,7 @@ def platt(raw: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[float
         beta = beta - np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break
-    return max(0.0, float(beta[0])), float(beta[1])
+    return (float(beta[0]), float(beta[1])) if beta[0] > 0 else flat
 
 
 def _vectors(words: list[str], label: str = "text_hash") -> Callable:
@@ -314,5 +315,5 @@ def clean_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     """The rows of docs that are not predicted toxic, with all their columns."""
     bad = toxicity(docs, labels, id_col, text_col, **options).where("predicted = 1").select(F.col(id_col).alias("__id"), F.col("text_hash").alias("__hash")).distinct()
     bad = written(bad, "toxicity-rejected")
-    same = column(docs, id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_of(column(docs, text_col))) == F.col("__hash"))
+    same = column(docs, id_col).eqNullSafe(bad["__id"]) & (F.xxhash64(text_of(column(docs, text_col))) == bad["__hash"])
     return docs.join(small_or_not(bad, bad.count()), same, "left_anti")

@@ -130,3 +130,10 @@ def test_fingerprints_compare_bytes_when_digests_collide(spark):
     assert fingerprint.fingerprints(df.limit(0)).count() == 0
     one = fingerprint.fingerprints(df.where("doc_id = 1")).first()
     assert one.near_next == 1.0  # a lone document follows itself
+
+
+def test_exact_dedup_of_text_ids(spark):
+    df = spark.createDataFrame([("b", "Same", 1), ("a", "same", 2), (None, "SAME", 3), ("a", "other", 4)], "key string, text string, __id int")
+    got = {(r.key, r.text_sha256[:4]): (r.keep_id, r.group_size, r.kept) for r in X.exact_dedup(df, "key").collect()}
+    assert sorted(map(str, got.values())) == sorted(map(str, [("b", 3, True), ("b", 3, False), ("b", 3, False), ("a", 1, True)]))
+    assert sorted((r.key, r.text) for r in X.kept_rows(df, "key").collect()) == [("a", "other"), ("b", "Same")]

@@ -147,3 +147,24 @@ def test_pipeline_stages_against_brute_force(spark, sf, tmp_path):
             assert sorted(ids) == sorted(r.doc_id for r in before)
             assert all(list(r.ids) == sp.encode(texts[r.doc_id] or "", add_eos=True) for r in after)
     assert np.isfinite(len(after)) and simhash.BITS == 64
+
+
+@pytest.mark.parametrize("rows", ["none", "some"])
+def test_pipeline_stages_on_edge_rows(spark, tmp_path, rows):
+    """Nulls in any column, empty and long texts, repeated rows and ids, no rows, and columns named as the stages' own."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, __id long, __size string, __key int, __hash long, score double"
+    extra = (None, "x", 1, 5, 0.5)
+    data = [(1, "One text here", "en", "a", 13, *extra), (1, "One text here", "en", "a", 13, *extra), (1, "another text of the same id", None, None, None, *extra), (2, None, "de", "b", 0, *extra), (None, "", None, "a", None, *extra),
+            (None, "ONE TEXT HERE", "fr", None, 1, *extra), (3, "long words " * 30_000, "en", "b", 1, *extra), (4, "idiot clown " * 4, "en", "c", 1, *extra), (5, "\x00 odd \U0001f600", "en", "c", 1, *extra)]
+    frame = spark.createDataFrame(data if rows == "some" else [], schema)
+    spark.createDataFrame([(1, 0, 1), (2, 0, 1), (3, 0, None), (5, 0, 1), (4, 1, 0), (None, 1, None), (3, None, 1)], "doc_id long, toxic int, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        before = frame.count()
+        after = stage(spark, frame, str(tmp_path))
+        if k < len(corpus_pipeline.STAGES) - 1:
+            assert after.columns == frame.columns
+            after.write.parquet(out := str(tmp_path / str(k)))
+            frame = spark.read.schema(after.schema).parquet(out)
+            assert frame.count() <= before or name == "mixing"
+    ids = [r.doc_id for r in after.collect()]
+    assert (not ids) if rows == "none" else {1, 3, 5} <= set(ids)

@@ -70,6 +70,12 @@ def test_scores_equal_brute_force(spark):
     assert {r.text or "": r.score for r in seen} == pytest.approx(want, abs=1e-7) and len(got) == len({(i, t) for i, t in texts})
 
 
+def test_votes_that_point_the_wrong_way_reject_nothing():
+    raw, label = np.array([0.0, 0.3, 0.3, 0.3]), np.array([1.0, 0.0, 0.0, 0.0])
+    slope, shift = toxicity.platt(raw, label, np.ones(4))
+    assert slope == 0 and shift < 0
+
+
 def test_ids_that_are_text_and_repeat(spark):
     docs = spark.createDataFrame([(f"n{i % 50}", "mild words here" if i % 3 else "vile words here", 1) for i in range(100)], "doc_id string, text string, score int")
     labels = spark.createDataFrame([(f"n{i}", int(i % 3 == 0)) for i in range(50)], "doc_id string, toxic int")
