@@ -221,6 +221,55 @@ def test_commands(spark, tmp_path, capsys):
     main(["--data", str(tmp_path), "chunk-compare", "--methods", "sparse", "--output", str(tmp_path / "sizes.md")])
     out = capsys.readouterr().out
     assert "qwen_hybrid" in out and (tmp_path / "sizes.md").exists()
+    # Another provider and another size leave what is there; then geography and everything at once have what they need.
+    main(["--data", str(tmp_path), "chunk", "--sizes", "256"])
+    for provider in schemas.PROVIDERS[1:]:
+        main(["--data", str(tmp_path), "index", "--method", provider, "--sizes", "512"])
+    kept = {(r.provider, r.size) for r in spark.read.parquet(str(tmp_path / "vectors.parquet")).select("provider", "size").distinct().collect()}
+    assert kept == {(p, 512) for p in schemas.PROVIDERS}
+    assert {r.size for r in spark.read.parquet(str(tmp_path / "chunks.parquet")).collect()} == {256, 512}
+    main(["--data", str(tmp_path), "eval", "--methods", "qwen_hybrid_rerank_geo"])  # no places: no query is scoped
+    first = spark.createDataFrame(QUESTIONS, schemas.QUESTION).first().question_id
+    data.write("places", spark.createDataFrame([(first, 45.0, 15.0, "site")], "query_id string, lat double, lon double, granularity string"))
+    data.write("points", spark.createDataFrame([("p1", 45.0, 15.0), ("p2", 50.0, 15.0)], "page_id string, lat double, lon double"))
+    main(["--data", str(tmp_path), "eval", "--methods", "qwen_hybrid_rerank_geo"])
+    assert capsys.readouterr().out.count("qwen_hybrid_rerank_geo") >= 2
+
+
+def test_eval_all_asks_for_every_provider(spark, tmp_path, monkeypatch):
+    data = tables.Dataset(spark, str(tmp_path))
+    data.write("pages", spark.createDataFrame([("p1", "Castle", "# Castle\n\nCanonical castle text stands here. " + "More words follow. " * 30)], "id string, title string, text string"))
+    data.write("questions", spark.createDataFrame(QUESTIONS, schemas.QUESTION))
+    main(["--data", str(tmp_path), "chunk", "--sizes", "512"])
+    main(["--data", str(tmp_path), "index", "--method", "qwen", "--sizes", "512"])
+    with pytest.raises(RuntimeError, match="nemotron8b"):
+        main(["--data", str(tmp_path), "eval-all"])
+    asked = []
+    monkeypatch.setattr(evaluate, "run", lambda questions, qrels, corpus, names, *rest: (asked.append((names, corpus)) or None, {}))
+    monkeypatch.setattr(evaluate, "report", lambda *a: "")
+    main(["--data", str(tmp_path), "eval-all"])
+    names, corpus = asked[0]
+    assert len(names) == 38 and set(corpus.vectors) == set(schemas.PROVIDERS) and corpus.places.count() == 0
+
+
+def test_fetched_pages_are_extracted(spark):
+    schema = "source string, url string, final_url string, status int, content_type string, html string, error string, fetched_at timestamp"
+    page = "<html lang='de'><head><title>T</title></head><body><nav><a href='/'>Home</a></nav><article><p>A text that stands in the article.</p></article></body></html>"
+    rows = [("s", "https://a/1", "https://a/1", 200, "text/html", page, None, None), ("s", "https://a/2", "https://a/2", 404, "text/html", page, None, None), ("s", "https://a/3", None, None, None, None, "Timeout: x", None), ("s", "https://a/4", "https://a/4", 200, "text/html", "<i id=cf-chl-x>", None, None), ("s", "https://a/5", "https://a/5", 200, "text/html", None, None, None)]
+    got = {r.url[-1]: r for r in fetch.with_text(spark.createDataFrame(rows, schema)).collect()}
+    assert got["1"].text == "A text that stands in the article." and got["1"].language == "de" and got["1"].title == "T" and got["1"].char_count == len(got["1"].text) and got["1"].error is None
+    assert [got[k].error for k in "234"] == ["http 404", "Timeout: x", "bot check"] and {got[k].text for k in "2345"} == {""}
+    assert fetch.with_text(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_checksums_read_files_in_blocks(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    (tmp_path / "a b").mkdir()
+    (tmp_path / "a b" / "large file.bin").write_bytes(bytes(range(256)) * 20_000)
+    (tmp_path / "SHA256SUMS").write_text("x")
+    got = tables.checksums(spark, str(tmp_path)).collect()
+    assert [(r.name, r.sha256) for r in got] == [("large file.bin", hashlib.sha256(bytes(range(256)) * 20_000).hexdigest())]
 
 
 def test_release(spark):
