@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lakequill.functions import text as T
 from lakequill.functions.ids import crc, pick
+from lakequill.operators.store import placed
 
 #: Label names of the question labels, in their order.
 POSITIVE_LABELS = ("language_ok", "fluent", "realistic", "unique_place", "facts_answer", "translation_ok", "query_ok")
@@ -214,8 +215,11 @@ def balanced_subset(rows: DataFrame, group: str, key: str, most: int = 400) -> D
 
 def round_robin(rows: DataFrame, group: str, key: str) -> DataFrame:
     """rows with turn, the place within their group: the groups take turns, each in the order of its keys' hashes. Order by (turn, group) to walk them."""
-    turn = F.row_number().over(Window.partitionBy(group).orderBy(crc(F.col(key)), F.col(key)))
-    return rows.withColumn("turn", turn)
+    hashed = rows.withColumn("__hash", crc(F.col(key)))
+    found = placed(hashed, [group, "__hash", key], "round-robin")
+    first = found.groupBy(F.col(group).alias("__group")).agg(F.min("place").alias("__first"))
+    joined = found.join(first, F.col(group).eqNullSafe(F.col("__group")))
+    return joined.select(*rows.columns, (F.col("place") - F.col("__first") + 1).cast("int").alias("turn"))
 
 
 def other_language(options: Sequence[str], own: Column, key: Column) -> Column:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -77,21 +78,36 @@ def schema_union(tables: Sequence[DataFrame]) -> DataFrame:
 def greedy_batches(rows: DataFrame, key: str, order: str, cost: Column, most: int = 256, most_cost: int = 1_000_000) -> DataFrame:
     """rows with batch: in order within the key, a new one when it would hold more rows or more cost.
 
-    A fold over the key's rows in the JVM; the key is a unit of work such as a file, not a skewed value.
+    Keys, order and costs alone are sorted and walked once, in a stream; nothing is held but the open batch's two sums.
+    (key, order) is unique.
     """
-    items = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), cost.cast("long").alias("c")))).alias("items"))
-    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("used"), F.lit(0).cast("long").alias("batch"), F.array().cast("array<struct<o:" + dict(rows.dtypes)[order] + ",batch:bigint>>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        full = (s["n"] >= most) | ((s["n"] > 0) & (s["used"] + x["c"] > most_cost))
-        batch = s["batch"] + full.cast("long")
-        return F.struct(
-            F.when(full, F.lit(1)).otherwise(s["n"] + 1).cast("long").alias("n"), F.when(full, x["c"]).otherwise(s["used"] + x["c"]).alias("used"), batch.alias("batch"),
-            F.concat(s["out"], F.array(F.struct(x["o"].alias("o"), batch.alias("batch")))).alias("out"),
-        )
-
-    folded = items.select(key, F.explode(F.aggregate("items", start, step)["out"]).alias("x"))
-    return rows.join(folded.select(key, F.col("x.o").alias(order), F.col("x.batch").alias("batch")), [key, order])
+    kinds = dict(rows.dtypes)
+    narrow = rows.select(F.col(key).alias("k"), F.col(order).alias("o"), cost.cast("long").alias("c")).repartition("k").sortWithinPartitions("k", "o")
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_key, held, used, batch = object(), 0, 0, 0
+        for got in source:
+            out = []
+            for k, c in zip(got.column(0).to_pylist(), got.column(2).to_pylist()):
+                if k != open_key:
+                    open_key, held, used, batch = k, 0, 0, 0
+                elif held >= most or used + c > most_cost:
+                    held, used, batch = 0, 0, batch + 1
+                held, used = held + 1, used + c
+                out.append(batch)
+            yield pa.RecordBatch.from_arrays([got.column(0), got.column(1), pa.array(out, pa.int64())], ["k", "o", "batch"])
+
+    found = narrow.mapInArrow(run, f"k {kinds[key]}, o {kinds[order]}, batch long")
+    return rows.join(found, F.col(key).eqNullSafe(F.col("k")) & (F.col(order) == F.col("o"))).drop("k", "o")
+
+
+def placed(rows: DataFrame, order: Sequence[str], label: str) -> DataFrame:
+    """rows with place, from 0, in the order of the columns. Ranges are numbered apart and their counts give each its first number, so no task sorts all rows."""
+    nth = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ranged = materialized(rows.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("__p"), nth.alias("__i")), label)
+    counts = ranged.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
+    before = counts.select("__p", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))  # a row for each partition
+    return ranged.join(F.broadcast(before), "__p").select(*rows.columns, (F.col("__before") + F.col("__i")).alias("place"))
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
@@ -136,8 +152,4 @@ def numbered_batches(rows: DataFrame, taken: DataFrame, key: str, size: int, fir
     no task sorts all keys.
     """
     fresh = rows.select(key).join(taken.select(key), key, "left_anti").distinct()
-    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    ranged = materialized(fresh.repartitionByRange(F.col(key)).sortWithinPartitions(key).select(key, F.spark_partition_id().alias("p"), place.alias("i")), "batches")
-    counts = ranged.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
-    before = counts.select("p", F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row for each partition
-    return ranged.join(F.broadcast(before), "p").select(key, (F.floor((F.col("before") + F.col("i")) / size) + first).cast("long").alias("batch"))
+    return placed(fresh, [key], "batches").select(key, (F.floor(F.col("place") / size) + first).cast("long").alias("batch"))

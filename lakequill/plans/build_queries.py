@@ -272,10 +272,16 @@ def work_batches(t) -> DataFrame:
     return store.numbered_batches(t("documents"), t("labels"), "doc_id", 64, 7)
 
 
-@query()
+@query(
+    """WITH RECURSIVE o AS (SELECT source, doc_id, length(text) + 10 AS c, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents),
+    r AS (SELECT source, doc_id, rn, 1 AS held, c AS used, 0::BIGINT AS batch FROM o WHERE rn = 1
+      UNION ALL SELECT o.source, o.doc_id, o.rn, CASE WHEN held >= 16 OR used + c > 60000 THEN 1 ELSE held + 1 END, CASE WHEN held >= 16 OR used + c > 60000 THEN c ELSE used + c END,
+        batch + (held >= 16 OR used + c > 60000)::INT FROM r JOIN o ON o.source = r.source AND o.rn = r.rn + 1)
+    SELECT source, doc_id, batch FROM r"""
+)
 def greedy_batches(t) -> DataFrame:
     rows = t("documents").select("source", "doc_id", "text")
-    return store.greedy_batches(rows, "source", "doc_id", F.length(F.to_json(F.struct("text"))) + 1, 16, 60_000).select("source", "doc_id", "batch")
+    return store.greedy_batches(rows, "source", "doc_id", F.length("text") + 10, 16, 60_000).select("source", "doc_id", "batch")
 
 
 # Question-set rules
