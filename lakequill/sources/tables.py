@@ -7,7 +7,7 @@ import json
 import re
 from collections.abc import Iterable, Iterator, Sequence
 from typing import Any
-from urllib.parse import unquote
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -156,12 +156,15 @@ def checksums(spark: SparkSession, path: str) -> DataFrame:
         for pdf in source:
             rows = []
             for uri in pdf["path"]:
-                store, at = fs.FileSystem.from_uri("file://" + uri.removeprefix("file:") if re.match("file:/[^/]", uri) else uri)
+                if uri.startswith("file:"):
+                    store, at = fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
+                else:
+                    store, at = fs.FileSystem.from_uri(quote(uri, safe=":/@"))
                 digest = hashlib.sha256()
-                with store.open_input_stream(unquote(at)) as stream:
+                with store.open_input_stream(at) as stream:
                     while block := stream.read(BLOCK):
                         digest.update(block)
-                rows.append((unquote(at).rsplit("/", 1)[-1], digest.hexdigest()))
+                rows.append((at.rsplit("/", 1)[-1], digest.hexdigest()))
             yield pd.DataFrame(rows, columns=["name", "sha256"])
 
     return files.mapInPandas(run, "name string, sha256 string").where(~F.col("name").startswith("SHA256SUMS"))
