@@ -24,8 +24,8 @@ def rows(spark, sf, name):
     return QUERIES[name](spark, sf).collect()
 
 
-def test_ten_queries():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+def test_thirteen_queries():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_op1(spark, sf, docs):
