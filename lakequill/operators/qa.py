@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from lakequill.functions import text as T
 from lakequill.functions.ids import crc, pick
+from lakequill.operators.similar import earlier_similar
 from lakequill.operators.store import placed
+from lakequill.operators.xor_search import least_hash_partner
 
 #: Label names of the question labels, in their order.
 POSITIVE_LABELS = ("language_ok", "fluent", "realistic", "unique_place", "facts_answer", "translation_ok", "query_ok")
@@ -48,10 +50,10 @@ def rule_flags(items: DataFrame, pages: DataFrame, least_chars: int = 400) -> Da
         F.when(F.size(T.stems(title)) > 0, T.stems(title)).otherwise(F.array_distinct(T.words(F.col("title")))).alias("title_words"),
     )
     per = Window.partitionBy("page_id")
-    earlier = F.collect_list(F.array_distinct(T.words(F.col("question")))).over(per.orderBy("n").rowsBetween(Window.unboundedPreceding, -1))
-    i = items.withColumn("own", F.array_distinct(T.words(F.col("question")))).withColumn("earlier", earlier).withColumn("of", F.count(F.lit(1)).over(per)).join(p, "page_id")
+    repeats = near_repeats(items).withColumn("repeats", F.lit(True))
+    i = items.withColumn("own", F.array_distinct(T.words(F.col("question")))).withColumn("of", F.count(F.lit(1)).over(per)).join(p, "page_id").join(repeats, ["page_id", "n"], "left")
     checks = {
-        "dup": F.exists("earlier", lambda e: T.jaccard(F.col("own"), e) >= 0.8),
+        "dup": F.col("repeats"),
         "query_leak": T.number_leak(F.col("query"), F.col("facts"), F.col("question")),
         "fact_unmatched": ~F.forall("facts", lambda f: T.fact_ok(f, F.col("text_stems"), F.col("text_numbers"))),
         "no_anchor": ~F.arrays_overlap("title_words", F.array_union(T.stems(F.col("question")), F.col("own"))),
@@ -62,11 +64,8 @@ def rule_flags(items: DataFrame, pages: DataFrame, least_chars: int = 400) -> Da
 
 
 def near_repeats(items: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """(page_id, n) of items whose words have that Jaccard with an earlier item of the page; pages are small groups."""
-    own = F.array_distinct(T.words(F.col("question")))
-    i = items.select("page_id", "n", own.alias("own"))
-    before = F.collect_list("own").over(Window.partitionBy("page_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1))
-    return i.withColumn("before", before).where(F.exists("before", lambda e: T.jaccard(F.col("own"), e) >= threshold)).select("page_id", "n")
+    """(page_id, n) of items whose words have that Jaccard with an earlier item of the page."""
+    return earlier_similar(items.select("page_id", "n", T.words(F.col("question")).alias("words")), "page_id", "n", "words", threshold)
 
 
 def repeated_across_pages(items: DataFrame) -> DataFrame:
@@ -162,16 +161,13 @@ def pages_with_items(pages: DataFrame, layer: DataFrame, ids: DataFrame | None =
 
 
 def partners(items: DataFrame) -> DataFrame:
-    """(id, partner): another item of the same language, country and a shared category, the least by the hash of both ids; none if there is none.
+    """(id, partner): a page of another item of the same language, country and a shared category, the least by the hash of both ids; without one no row.
 
-    The hash is of the pair, so every pair of a (language, country, category) group is compared and reduced at once
-    by a partial minimum; groups are lists of places, not skewed keys.
+    items (id, lang, country, categories[, item]); without the last an id is its own item. No pairs are made.
     """
-    rows = items.select("id", "lang", "country", F.explode(F.array_distinct("categories")).alias("category"))
-    other = rows.select(F.col("id").alias("other"), "lang", "country", "category")
-    pairs = rows.join(other, ["lang", "country", "category"]).where("id <> other")
-    key = crc(F.concat(F.col("id").cast("string"), F.col("other").cast("string")))
-    return pairs.groupBy("id").agg(F.min_by("other", F.struct(key.alias("k"), F.col("other").alias("o"))).alias("partner"))
+    item = F.col("item") if "item" in items.columns else F.col("id")
+    rows = items.select("id", item.alias("item"), "lang", "country", F.explode(F.array_distinct("categories")).alias("category"))
+    return least_hash_partner(rows, ["lang", "country", "category"])
 
 
 def merged_places(rows: DataFrame) -> DataFrame:

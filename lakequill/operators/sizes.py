@@ -1,4 +1,4 @@
-"""Broadcast only what has been counted."""
+"""Broadcast only what has been counted; deal out what lies in few files."""
 
 from __future__ import annotations
 
@@ -11,3 +11,9 @@ BROADCAST_ROWS = 200_000
 def small_or_shuffled(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most `limit` rows (counted up to one more), else as it is."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df as it is if it lies in as many files as there are cores, else dealt out over them: a file of one row group is one task, however many cores wait."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores)

@@ -1,9 +1,7 @@
 """BM25: term statistics, weights and batch scoring.
 
-Queries are a table, so one plan answers one query or a million. Without an index only the queries' terms are carried
-past the scan: document lengths come from array sizes, and postings of other terms never reach a shuffle. An index is
-the weights of all postings, written once in buckets of terms and sorted by term within; a query reads its terms' buckets
-and, by the files' statistics, the parts of them that can hold its terms.
+Queries are a table, so one plan answers one query or a million. Only the queries' terms are carried past the scan:
+document lengths come from array sizes, and postings of other terms never reach a shuffle. A stored index: segments.
 """
 
 from __future__ import annotations
@@ -17,8 +15,6 @@ from lakequill.operators.sizes import small_or_shuffled
 
 K1 = 1.5
 B = 0.75
-#: Buckets of an index, the files that a bucket's postings are spread over at most, and the terms that are worth a filter of the scan.
-BUCKETS, SPREAD, FEW_TERMS = 16, 4, 100
 
 
 def term_counts(docs: DataFrame, terms: Column | None = None) -> DataFrame:
@@ -64,25 +60,6 @@ def postings(docs: DataFrame, only: DataFrame | None = None, k1: float = K1, b:
     return joined.select("term", F.col("id").alias("chunk_id"), weight(idf(F.col("n"), F.col("df")), F.col("tf"), F.col("length"), F.col("avg_length"), k1, b).alias("w"))
 
 
-def _bucket(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
-
-
-def write_index(docs: DataFrame, path: str, k1: float = K1, b: float = B) -> None:
-    """The weights of all postings of docs (id, text), as a table in buckets of terms."""
-    found = postings(docs, None, k1, b).withColumn("bucket", _bucket(F.col("term")))
-    found.repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(SPREAD))).sortWithinPartitions("bucket", "term").write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(path)
-
-
-def indexed_bm25(queries: DataFrame, index: DataFrame, limit: int = 10) -> DataFrame:
-    """bm25 of queries (query_id, text) over a table of write_index. Few terms reach the scan as a filter."""
-    asked = query_terms(queries).withColumn("bucket", _bucket(F.col("term")))
-    terms = [r["term"] for r in asked.select("term").distinct().limit(FEW_TERMS + 1).collect()]
-    held = index.where(F.col("term").isin(terms) & F.col("bucket").isin([r["bucket"] for r in asked.select("bucket").distinct().collect()])) if 0 < len(terms) <= FEW_TERMS else index
-    found = held.join(small_or_shuffled(asked), ["bucket", "term"]).groupBy("query_id", "chunk_id").agg(F.sum(F.col("qtf") * F.col("w")).alias("score"))
-    return top_k(found, limit).where("score > 0")
-
-
 def query_terms(queries: DataFrame) -> DataFrame:
     """(query_id, term, qtf) of queries (query_id, text)."""
     return queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakequill.operators import geo, ranking
+from lakequill.operators import geo, ranking, segments
 from lakequill.operators.dense import dense_top_k, not_ready
 from lakequill.operators.sparse import bm25
 from lakequill.schemas import PROVIDERS
@@ -19,7 +19,7 @@ VECTOR_WEIGHT, SPARSE_WEIGHT = 0.7, 0.3
 
 @dataclass
 class Corpus:
-    """chunks (id, text). vectors and query_vectors: provider to (chunk_id, vec) and (query_id, vec). rerankers: '' and '_4b' to a scorer. places, points: for geography."""
+    """chunks (id, text). vectors and query_vectors: provider to (chunk_id, vec) and (query_id, vec). rerankers: '' and '_4b' to a scorer. places, points: for geography. index: a stored BM25 index of the chunks, which all sparse legs share; without one they read the chunks."""
 
     chunks: DataFrame
     vectors: dict[str, DataFrame] = field(default_factory=dict)
@@ -27,13 +27,14 @@ class Corpus:
     rerankers: dict[str, Callable] = field(default_factory=dict)
     places: DataFrame | None = None
     points: DataFrame | None = None
+    index: segments.Index | None = None
 
 
 Method = Callable[[DataFrame, Corpus, int], DataFrame]
 
 
 def sparse(queries: DataFrame, corpus: Corpus, limit: int) -> DataFrame:
-    return bm25(queries, corpus.chunks, limit)
+    return segments.search(queries, corpus.index, limit) if corpus.index else bm25(queries, corpus.chunks, limit)
 
 
 def dense(provider: str) -> Method:

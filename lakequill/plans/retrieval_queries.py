@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from lakequill.functions import text as T
 from lakequill.functions.ids import stable_order
-from lakequill.operators import dense, evaluation, geo, ranking, sparse, store
+from lakequill.operators import dense, evaluation, geo, ranking, segments, sparse, store
 from lakequill.operators.chunking import chunk_pages
+from lakequill.operators.sizes import spread
 from lakequill.plans.registry import query
 
 TOK = r"""
@@ -34,7 +35,7 @@ VEC = r"""
 
 
 def corpus(t) -> DataFrame:
-    return t("documents").select(F.col("doc_id").alias("id"), "text")
+    return spread(t("documents").select(F.col("doc_id").alias("id"), "text"))
 
 
 def asked(t) -> DataFrame:
@@ -89,11 +90,16 @@ def bm25_topk(t) -> DataFrame:
 
 @query(f"WITH {BM25} SELECT qid AS query_id, rank, id AS chunk_id, round(score, 6) AS score FROM sparse WHERE rank <= 10 AND score > 0")
 def bm25_indexed_topk(t) -> DataFrame:
-    """The index is written, then asked."""
-    docs = corpus(t)
+    """The index is written, texts of one language first and the others added to it, then asked."""
+    return segments.search(asked(t), stored_index(t)).withColumn("score", r6(F.col("score")))
+
+
+def stored_index(t) -> segments.Index:
+    docs, english = t("documents"), F.coalesce(F.col("lang") == "en", F.lit(False))
     path = store.fresh_path(docs.sparkSession, "bm25-index")
-    sparse.write_index(docs, path)
-    return sparse.indexed_bm25(asked(t), docs.sparkSession.read.parquet(path)).withColumn("score", r6(F.col("score")))
+    for part in (docs.where(english), docs.where(~english)):
+        segments.add_segments(spread(part.select(F.col("doc_id").alias("id"), "text")), path)
+    return segments.Index(docs.sparkSession, path)
 
 
 @query(
@@ -200,7 +206,12 @@ def rerank_topk(t) -> DataFrame:
   SELECT qid AS query_id, rank, id AS chunk_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, seen, id) AS rank FROM f) WHERE rank <= 10"""
 )
 def minmax_fusion(t) -> DataFrame:
-    leg = bm25_ranking(t, 30)
+    return fused(t, bm25_ranking(t, 30))
+
+
+def fused(t, ranked: DataFrame) -> DataFrame:
+    """A ranking fused with itself reranked; it is written first, so that both legs read it."""
+    leg = store.materialized(ranked, "leg")
     other = ranking.rerank(leg, asked(t), corpus(t), 30)
     return ranking.fuse([(other, 0.7), (leg, 0.3)], 10).withColumn("score", r6(F.col("score")))
 
@@ -210,7 +221,7 @@ def minmax_fusion(t) -> DataFrame:
   SELECT qid AS query_id, rank, id AS chunk_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM f) WHERE rank <= 10"""
 )
 def rrf_fusion(t) -> DataFrame:
-    leg = bm25_ranking(t, 30)
+    leg = store.materialized(bm25_ranking(t, 30), "leg")
     return ranking.reciprocal_rank_fusion([ranking.rerank(leg, asked(t), corpus(t), 30), leg], 10).withColumn("score", r6(F.col("score")))
 
 
