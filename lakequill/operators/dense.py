@@ -79,7 +79,8 @@ def _best(k: int, grouped: bool, schema: pa.Schema) -> Callable:
                 ids, asked = row["ids"].values, row["q_ids"].values
                 sims = np.round(_matrix(row["q_data"], len(asked)) @ _matrix(row["data"], len(ids)).T, 9)
                 if grouped:
-                    own, other = (np.asarray(row[c].values.to_pylist(), object) for c in ("q_group", "group"))
+                    both = pa.concat_arrays([row["q_group"].values, row["group"].values]).dictionary_encode(null_encoding="encode").indices.to_numpy()
+                    own, other = both[: len(asked)], both[len(asked) :]  # groups as numbers
                     sims[own[:, None] == other[None, :]] = -np.inf
                 if sims.shape[1] > k:  # at least the k-th largest, of equals the first ones: ids rise within a block
                     least = np.partition(sims, sims.shape[1] - k, axis=1)[:, sims.shape[1] - k]

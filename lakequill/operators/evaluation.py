@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakequill.functions.ids import stable_order
 from lakequill.functions.text import normalize, sentences
 from lakequill.operators.sizes import small_or_shuffled
+from lakequill.operators.store import materialized
 
 KS = (1, 5, 10)
 MRR_K = 10
@@ -33,26 +34,66 @@ def passages_in(passages: DataFrame, docs: DataFrame, least: int = 1, shingle: i
     """(question_id, chunk_id), distinct: the documents, of any page, that hold a whole passage; white space folded.
 
     No page joins the two here, so they meet by word shingles: a text that holds the passage holds its shingles, and the
-    passage's rarest one (fewest documents) is looked up, then verified by containment. Passages of fewer words are
-    compared with all rows.
+    passage's rarest one (fewest documents) is looked up, then verified by containment. Passages of three words or more
+    that are too short for a shingle meet by their rarest inner word. Of one or two words, both may be parts of longer
+    words: only such passages are compared with all rows.
     """
     ws = lambda c: F.split(c, " ")
-    grams = lambda c: F.transform(F.sequence(F.lit(1), F.size(c) - shingle + 1), lambda i: F.xxhash64(F.array_join(F.slice(c, i, F.lit(shingle)), " ")))
+    grams = lambda c, n: F.transform(F.sequence(F.lit(1), F.size(c) - n + 1), lambda i: F.xxhash64(F.array_join(F.slice(c, i, F.lit(n)), " ")))
     p = passages.select(F.col("item_id").alias("question_id"), normalize(F.col("text")).alias("quote")).where(F.length("quote") >= least).withColumn("ws", ws(F.col("quote")))
+    long, middle = F.size("ws") >= shingle + 2, (F.size("ws") >= 3) & (F.size("ws") < shingle + 2)
+    have = p.agg(F.count_if(long).alias("long"), F.count_if(middle).alias("middle"), F.count_if(F.size("ws") < 3).alias("short")).first()
     # The first and last word may be part of longer ones in the text.
-    inner = p.where(F.size("ws") >= shingle + 2).withColumn("g", F.explode(F.array_distinct(grams(F.slice(F.col("ws"), F.lit(2), F.size("ws") - 2)))))
-    d = docs.select(F.col("id").alias("chunk_id"), normalize(F.col("text")).alias("text")).withColumn("ws", ws(F.col("text")))
-    of_docs = d.where(F.size("ws") >= shingle).select("chunk_id", F.explode(F.array_distinct(grams(F.col("ws")))).alias("g"))
-    wanted = small_or_shuffled(inner.select("g").distinct())
-    hits = of_docs.join(wanted, "g", "left_semi")
-    counts = hits.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    rarest = inner.join(counts, "g", "left").groupBy("question_id", "quote").agg(F.min_by("g", F.struct(F.coalesce("n", F.lit(0)), "g")).alias("g"))
-    candidates = rarest.join(hits, "g").select("question_id", "quote", "chunk_id")
-    texts = d.select("chunk_id", "text")
-    found = small_or_shuffled(candidates).join(texts, "chunk_id").where(F.col("text").contains(F.col("quote"))).select("question_id", "chunk_id")
-    short = p.where(F.size("ws") < shingle + 2).select("question_id", "quote")
-    few = texts.join(small_or_shuffled(short), F.col("text").contains(F.col("quote"))).select("question_id", "chunk_id")
-    return found.unionByName(few).distinct()
+    inside = F.slice(F.col("ws"), F.lit(2), F.size("ws") - 2)
+    inner = p.where(F.size("ws") >= 3).select("question_id", "quote", F.explode(F.array_distinct(F.when(long, grams(inside, shingle)).otherwise(grams(inside, 1)))).alias("g"))
+    d = docs.select(F.col("id").alias("chunk_id"), normalize(F.col("text")).alias("text"))
+    held = d.select("chunk_id", ws(F.col("text")).alias("ws"))
+    parts = [F.when(F.size("ws") >= n, grams(F.col("ws"), n)).otherwise(F.array().cast("array<bigint>")) for n, k in ((shingle, have["long"]), (1, have["middle"])) if k]
+    kinds = [df.schema[c].dataType.simpleString() for df, c in ((p, "question_id"), (d, "chunk_id"))]
+    out = docs.sparkSession.createDataFrame([], f"question_id {kinds[0]}, chunk_id {kinds[1]}")
+    if parts:
+        of_docs = held.select("chunk_id", F.explode(F.array_distinct(F.concat(*parts))).alias("g"))
+        hits = materialized(of_docs.join(small_or_shuffled(inner.select("g").distinct()), "g", "left_semi"), "passage-hits")
+        counts = hits.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+        rarest = inner.join(counts, "g", "left").groupBy("question_id", "quote").agg(F.min_by("g", F.struct(F.coalesce("n", F.lit(0)), "g")).alias("g"))
+        candidates = materialized(rarest.join(hits, "g").select("question_id", "quote", "chunk_id"), "passage-candidates")
+        out = small_or_shuffled(candidates).join(d, "chunk_id").where(F.col("text").contains(F.col("quote"))).select("question_id", "chunk_id")
+    if have["short"]:
+        short = p.where(F.size("ws") < 3).select("question_id", "quote")
+        out = out.unionByName(d.join(small_or_shuffled(short), F.col("text").contains(F.col("quote"))).select("question_id", "chunk_id"))
+    return out.distinct()
+
+
+def lay_by_page(chunks: DataFrame, path: str, buckets: int = 64) -> None:
+    """chunks (..., page_id) as a table in folders of page buckets, so that a question set reads its pages' folders only."""
+    chunks.withColumn("page_bucket", page_bucket(F.col("page_id"), buckets)).repartition("page_bucket", "page_id").write.mode("overwrite").partitionBy("page_bucket").parquet(path)
+
+
+def page_bucket(page: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(page.cast("string")), F.lit(buckets)).cast("int")
+
+
+def texts_of(laid: DataFrame, pages: DataFrame, buckets: int) -> DataFrame:
+    """(chunk_id, page_id, text) of some pages, few enough for a broadcast, from a table of lay_by_page."""
+    near = pages.withColumn("page_bucket", page_bucket(F.col("page_id"), buckets)).where("page_bucket >= 0")  # a comparison: without one Spark prunes no folders
+    return laid.join(F.broadcast(near), ["page_bucket", "page_id"]).select("chunk_id", "page_id", "text")
+
+
+def sampled_evidence(questions: DataFrame, laid: DataFrame, wanted: int, buckets: int = 64) -> tuple[DataFrame, DataFrame]:
+    """(questions, qrels): the first `wanted` questions, by the SHA-1 of their ids, that a chunk of a candidate page answers.
+
+    questions (question_id, page_id, quotes ...), laid: a table of lay_by_page with chunk_id and text. Candidate pages are
+    those of the first 2 * wanted questions. Their buckets prune the folders while the plan runs, and no text of another
+    page is looked at.
+    """
+    order = [stable_order(F.col("question_id")), F.col("question_id")]
+    pages = materialized(questions.orderBy(*order).limit(2 * wanted).select("page_id").distinct(), "candidate-pages")  # 2 * wanted at most
+    asked = questions.join(F.broadcast(pages), "page_id", "left_semi")
+    texts = texts_of(laid, pages, buckets)
+    qrels = materialized(evidence(asked.select("question_id", "page_id", F.explode("quotes").alias("quote")), texts), "qrels")
+    sample = questions.join(qrels.select("question_id").distinct(), "question_id", "left_semi").orderBy(*order).limit(wanted)
+    sample = materialized(sample, "sample")
+    return sample, qrels.join(F.broadcast(sample.select("question_id")), "question_id", "left_semi")
 
 
 def relevant_ranks(qrels: DataFrame, rankings: DataFrame) -> DataFrame:

@@ -322,6 +322,11 @@ def near_dup_items_jaccard(t) -> DataFrame:
     FROM conversations c JOIN p USING (conv_id) JOIN ps USING (conv_id) JOIN ttl USING (conv_id) JOIN i ON i.conv_id = c.conv_id AND i.turn = c.turn LEFT JOIN d ON d.conv_id = c.conv_id AND d.turn = c.turn"""
 )
 def rule_flags(t) -> DataFrame:
+    return qa.rule_flags(*rule_inputs(t)).select("page_id", "n", F.array_join("flags", ",").alias("flags"))
+
+
+def rule_inputs(t) -> tuple[DataFrame, DataFrame]:
+    """Items and their pages."""
     c = t("conversations")
     texts = c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), " ").alias("text"))
     pages = texts.join(c.where("turn = 0").select("conv_id", F.concat(F.lit("Title "), "text").alias("title")), "conv_id").withColumnRenamed("conv_id", "page_id")
@@ -333,7 +338,7 @@ def rule_flags(t) -> DataFrame:
     texts = texts.withColumn("text", F.col("text"))
     pages = pages.withColumn("text", F.concat("text", F.lit(" 70707070")))
     items = c.select(F.col("conv_id").alias("page_id"), n.alias("n"), F.col("text").alias("question"), F.concat(F.lit("How long: "), number).alias("query"), F.array(fact, known).alias("facts"))
-    return qa.rule_flags(items, pages).select("page_id", "n", F.array_join("flags", ",").alias("flags"))
+    return items, pages
 
 
 @query(

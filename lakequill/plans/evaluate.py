@@ -17,6 +17,8 @@ from lakequill.plans.reports import bold_best_table, plain_table
 from lakequill.sources.tables import write_text
 
 RESULT_LIMIT = 10
+#: Questions of a run unless said otherwise; folders of lay_by_page.
+DEFAULT_QUESTIONS, BUCKETS = 2_000, 64
 
 
 def signature(questions: DataFrame) -> str:
@@ -26,12 +28,10 @@ def signature(questions: DataFrame) -> str:
 
 
 def questions_with_evidence(questions: DataFrame, chunks: DataFrame, limit: int | None = None, qtype: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(questions, qrels): the stable sample of those test questions that a chunk answers."""
+    """(questions, qrels): the stable sample of those test questions that a chunk of their page answers. chunks as they are, or a table of lay_by_page, of which only the sample's pages are read."""
     asked = evaluation.eval_questions(questions, qtype)
-    quotes = asked.select("question_id", "page_id", F.explode("quotes").alias("quote"))
-    qrels = evaluation.evidence(quotes, chunks.select(F.col("id").alias("chunk_id"), "page_id", "text"))
-    sample = evaluation.stable_sample(asked.join(qrels.select("question_id").distinct(), "question_id", "left_semi"), limit)
-    return sample, qrels.join(sample.select("question_id"), "question_id", "left_semi")
+    held = chunks.select(F.col("id").alias("chunk_id"), "page_id", "text").withColumn("page_bucket", evaluation.page_bucket(F.col("page_id"), BUCKETS)) if "page_bucket" not in chunks.columns else chunks.withColumnRenamed("id", "chunk_id")
+    return evaluation.sampled_evidence(asked, held, limit or DEFAULT_QUESTIONS, BUCKETS)
 
 
 def run(questions: DataFrame, qrels: DataFrame, corpus: Corpus, methods: Sequence[str] | None = None, checkpoint: str | None = None, size: int | str = "all") -> tuple[DataFrame, dict[str, float]]:

@@ -281,6 +281,29 @@ def evidence_by_page(t) -> DataFrame:
     return evaluation.evidence(quotes, rows.select(F.col("key").alias("chunk_id"), F.col("conv_id").alias("page_id"), "text"))
 
 
+@query(
+    r"""WITH x AS (SELECT conv_id, turn, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM conversations),
+    q AS (SELECT conv_id * 1000 + turn AS question_id, conv_id AS page_id, CASE WHEN turn % 2 = 0 THEN text ELSE 'nowhere ' || text END AS quote,
+                 row_number() OVER (ORDER BY sha1((conv_id * 1000 + turn)::VARCHAR), conv_id * 1000 + turn) AS nth FROM x),
+    pages AS (SELECT DISTINCT page_id FROM q WHERE nth <= 120),
+    c AS (SELECT conv_id * 1000 + turn AS chunk_id, conv_id AS page_id, text FROM x WHERE conv_id IN (FROM pages)),
+    s AS (SELECT question_id, page_id, unnest(string_split(regexp_replace(quote, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) AS part FROM q),
+    w AS (SELECT DISTINCT question_id, chunk_id FROM q JOIN c USING (page_id) WHERE contains(text, quote)),
+    f AS (SELECT DISTINCT question_id, chunk_id FROM s JOIN c USING (page_id) WHERE length(trim(part)) >= 20 AND contains(text, trim(part)) AND question_id NOT IN (SELECT question_id FROM w)),
+    e AS (FROM w UNION ALL FROM f),
+    chosen AS (SELECT question_id FROM q WHERE question_id IN (SELECT question_id FROM e) ORDER BY nth LIMIT 60)
+    SELECT question_id, chunk_id FROM e WHERE question_id IN (FROM chosen)"""
+)
+def evidence_of_sample(t) -> DataFrame:
+    """Conversations as pages of chunks, each turn a question; every other quote begins with words that its page hasn't."""
+    rows = t("conversations").withColumn("key", F.col("conv_id") * 1000 + F.col("turn"))
+    quote = F.when(F.col("turn") % 2 == 0, F.col("text")).otherwise(F.concat(F.lit("nowhere "), F.col("text")))
+    questions = rows.select(F.col("key").alias("question_id"), F.col("conv_id").alias("page_id"), F.array(quote).alias("quotes"))
+    path = store.fresh_path(rows.sparkSession, "chunks-by-page")
+    evaluation.lay_by_page(rows.select(F.col("key").alias("chunk_id"), F.col("conv_id").alias("page_id"), "text"), path)
+    return evaluation.sampled_evidence(questions, rows.sparkSession.read.parquet(path), 60)[1]
+
+
 _PER = f"""WITH {BM25}, {QRELS}, r AS (SELECT rel.qid, rel.id, rank FROM rel LEFT JOIN (SELECT * FROM sparse WHERE rank <= 10 AND score > 0) s ON rel.qid = s.qid AND rel.id = s.id),
   per AS (SELECT qid, min(rank) AS first_rank, count(rank) / count(*)::DOUBLE AS recall FROM r GROUP BY 1)"""
 _MEANS = "round(avg((coalesce(first_rank, 99) <= 1)::INT), 6) AS hit_1, round(avg((coalesce(first_rank, 99) <= 5)::INT), 6) AS hit_5, round(avg((coalesce(first_rank, 99) <= 10)::INT), 6) AS hit_10, round(avg(recall), 6) AS recall_10, round(avg(coalesce(1.0 / first_rank, 0)), 6) AS mrr_10, count(*) AS questions"

@@ -14,13 +14,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakequill import schemas
+from lakequill.sources.versioned import Versioned
 
 #: Bytes of a file that are hashed at once.
 BLOCK = 1 << 20
 
 
 class Dataset:
-    """A folder of tables. Filters and columns reach the Parquet scan; chunks and vectors are partitioned by size."""
+    """A folder of tables. Filters and columns reach the Parquet scan; of chunks and vectors, kept in parts by size, only the parts asked for are read."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -30,9 +31,7 @@ class Dataset:
 
     def load(self, table: str, columns: Sequence[str] | None = None, **where: Any) -> DataFrame:
         """The rows for which every given column equals the given value; without filters all."""
-        df = self.spark.read.parquet(self.path(table))
-        for name, value in where.items():
-            df = df.where(F.col(name) == F.lit(value))
+        df = read_table(self.spark, self.path(table), **where)
         return df.select(*columns) if columns else df
 
     def read(self, table: str, rules: dict[str, Column], json_columns: dict[str, str] | None = None, **where: Any) -> DataFrame:
@@ -75,36 +74,32 @@ class Dataset:
             return self.spark.createDataFrame([], schema)
 
     def write(self, table: str, df: DataFrame, partition_by: Sequence[str] = ()) -> None:
-        """Replace the table: written beside it, then renamed."""
+        """Replace the table; readers have the old one until the new one is whole."""
         replace(df, self.path(table), partition_by)
 
 
 def replace(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    """Write df beside path and rename it into place; a failed write leaves the old table as it is."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    fresh, old = (jvm.org.apache.hadoop.fs.Path(path + end) for end in (".tmp", ".old"))
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    df.write.mode("overwrite").option("compression", "zstd").partitionBy(*partition_by).parquet(path + ".tmp")
-    fs.delete(old, True)
-    if fs.exists(target) and not fs.rename(target, old):
-        raise OSError(f"{path} could not be moved away")
-    if not fs.rename(fresh, target):
-        fs.rename(old, target)
-        raise OSError(f"{path} could not be replaced")
-    fs.delete(old, True)
+    """Make df the table at path: see versioned. A reader has the table before or after it, and a lost write leaves the old one."""
+    Versioned(df.sparkSession, path).replace(df, partition_by)
+
+
+def read_table(spark: SparkSession, path: str, **where: Any) -> DataFrame:
+    """The rows of a table of versions, as it stands now, or of plain Parquet, that have these values."""
+    table = Versioned(spark, path)
+    if table.exists():
+        return table.read(**where)
+    df = spark.read.parquet(path)
+    for name, value in where.items():
+        df = df.where(F.col(name) == F.lit(value))
+    return df
 
 
 def replace_partitions(df: DataFrame, path: str, partition_by: Sequence[str]) -> None:
-    """Replace the partitions that df has rows of and leave all others; df may read from the table itself, as its rows are written beside it first."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    fresh = jvm.org.apache.hadoop.fs.Path(path + ".part")
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path + ".part")
-    again = spark.read.schema(df.schema).parquet(path + ".part")
-    again.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(*partition_by).parquet(path)
-    fresh.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(fresh, True)
+    """Replace the partitions that df has rows of and leave all others; df may read from the table itself."""
+    table = Versioned(df.sparkSession, path)
+    if not table.exists() and table.plain():
+        table.replace(df.sparkSession.read.parquet(path), partition_by)  # a table of plain Parquet becomes one of versions first
+    table.replace(df, partition_by, others_stay=True)
 
 
 def source_urls(spark: SparkSession, path: str) -> DataFrame:

@@ -8,26 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lakequill.operators.store import latest
+from lakequill.sources.versioned import Versioned, keep_latest
 
 
 def read_log(spark: SparkSession, path: str, schema: str, kind: str = "json", files_a_trigger: int = 100) -> DataFrame:
     return spark.readStream.format(kind).schema(schema).option("maxFilesPerTrigger", files_a_trigger).load(path)
 
 
-def latest_to(log: DataFrame, keys: Sequence[str], order: Sequence[str], path: str, checkpoint: str) -> StreamingQuery:
-    """Keep the latest row of each key in a Parquet table. Each batch writes a new version <path>/v<batch>, so a batch that is run again gives the same; the newest version is the table."""
+def latest_to(log: DataFrame, keys: Sequence[str], order: Sequence[str], path: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
+    """Keep the latest row of each key in a table of versions. A batch rewrites the buckets of its keys only; one that runs again changes nothing."""
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        try:
-            old = spark.read.schema(batch.schema).parquet(f"{path}/v{number - 1}") if number else None
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            old = None
-        rows = batch if old is None else old.unionByName(batch)
-        latest(rows, keys, [F.col(c) for c in order]).select(*batch.columns).write.mode("overwrite").parquet(f"{path}/v{number}")
+        Versioned(batch.sparkSession, path).merge(batch, keys, keep_latest(order, keys), buckets, (checkpoint, number))
 
     return log.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -15,6 +15,7 @@ from lakequill.operators import ingest
 from lakequill.plans import evaluate, registry, release, reports
 from lakequill.plans.catalog import Corpus
 from lakequill.sources import fetch, gazetteer, tables
+from lakequill.sources.versioned import Versioned
 from lakequill.streaming import log
 
 ROOT = Path(__file__).resolve().parent.parent
@@ -105,8 +106,7 @@ def test_log_and_layers(spark, tmp_path):
     assert tables.layer(spark, str(tmp_path / "none"), "array<string>").count() == 0
     out = log.latest_to(log.read_log(spark, path, schemas.FETCHED, files_a_trigger=1), ["url"], ["fetched_at"], str(tmp_path / "latest"), str(tmp_path / "state"))
     out.awaitTermination()
-    newest = max((tmp_path / "latest").iterdir(), key=lambda p: int(p.name[1:]))
-    assert {r.url: r.text for r in spark.read.parquet(str(newest)).collect()} == {"u": "new", "v": "x"}
+    assert {r.url: r.text for r in Versioned(spark, str(tmp_path / "latest")).read().collect()} == {"u": "new", "v": "x"}
 
 
 def test_streamed_counts(spark, tmp_path):
@@ -225,9 +225,9 @@ def test_commands(spark, tmp_path, capsys):
     main(["--data", str(tmp_path), "chunk", "--sizes", "256"])
     for provider in schemas.PROVIDERS[1:]:
         main(["--data", str(tmp_path), "index", "--method", provider, "--sizes", "512"])
-    kept = {(r.provider, r.size) for r in spark.read.parquet(str(tmp_path / "vectors.parquet")).select("provider", "size").distinct().collect()}
+    kept = {(r.provider, r.size) for r in tables.read_table(spark, str(tmp_path / "vectors.parquet")).select("provider", "size").distinct().collect()}
     assert kept == {(p, 512) for p in schemas.PROVIDERS}
-    assert {r.size for r in spark.read.parquet(str(tmp_path / "chunks.parquet")).collect()} == {256, 512}
+    assert {r.size for r in tables.read_table(spark, str(tmp_path / "chunks.parquet")).collect()} == {256, 512}
     main(["--data", str(tmp_path), "eval", "--methods", "qwen_hybrid_rerank_geo"])  # no places: no query is scoped
     first = spark.createDataFrame(QUESTIONS, schemas.QUESTION).first().question_id
     data.write("places", spark.createDataFrame([(first, 45.0, 15.0, "site")], "query_id string, lat double, lon double, granularity string"))
