@@ -1,7 +1,7 @@
 """Toxicity by the nearest labelled examples.
 
 A bounded, hashed sample of labelled texts is kept as TF-IDF vectors over all their words; document frequencies are those
-of all documents. A text's neighbours are found by exact cosine in an inverted index whose long lists are cut into
+of all documents, and words whose presence goes with the sample's labels beyond chance weigh more. A text's neighbours are found by exact cosine in an inverted index whose long lists are cut into
 blocks of alike examples, each with its largest weight: the short lists are added up in full, the bound of a block is
 the best such sum in it and what its maxima allow besides, and only blocks whose bound reaches the k-th best similarity
 are opened. Distance-weighted votes are calibrated on the sample itself, each example left out of its own vote.
@@ -32,6 +32,8 @@ LONG_LIST = 16
 #: Texts that are looked up together.
 TOGETHER = 128
 SHOWN = 5
+#: A word counts beyond chance if its log-likelihood ratio exceeds this: chi-squared at 0.001, one degree of freedom.
+CHANCE = 10.83
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -68,6 +70,21 @@ def unit_rows(ends: np.ndarray, terms: np.ndarray, tf: np.ndarray, idf: np.ndarr
     return rows
 
 
+def relevance(examples: Rows, toxic: np.ndarray, words: int) -> np.ndarray:
+    """A factor for each word's weight: 1 + sqrt(G - CHANCE), G the log-likelihood ratio of the word's presence and the label, and 1 for words within chance.
+
+    No word is left out. What insults a language has, or what marks toxic texts in it, is learnt from the labels alone.
+    """
+    n, bad = float(len(toxic)), float(toxic.sum())
+    held = np.bincount(examples.terms, minlength=words).astype(np.float64)
+    with_bad = np.bincount(examples.terms, toxic[examples.of()], minlength=words)
+    g = np.zeros(words)
+    for seen, expected in ((with_bad, held * bad / max(n, 1)), (held - with_bad, held * (n - bad) / max(n, 1)), (bad - with_bad, (n - held) * bad / max(n, 1)), (n - bad - held + with_bad, (n - held) * (n - bad) / max(n, 1))):
+        there = seen > 0
+        g[there] += 2 * seen[there] * np.log(seen[there] / expected[there])
+    return 1 + np.sqrt(np.maximum(0.0, g - CHANCE))
+
+
 def alike(dense: np.ndarray, rows: np.ndarray, block: int) -> list[int]:
     """rows in an order that puts alike ones side by side: halves along the main direction, and so on down to a block."""
     if len(rows) <= block:
@@ -167,8 +184,8 @@ class Model:
 
     def __init__(self, words: list[str], idf: np.ndarray, examples: Rows, names: list[str], toxic: np.ndarray, share: float = VOTERS_SHARE, least: int = LEAST_VOTERS):
         """examples: rows of term counts."""
-        self.words, self.idf = words, idf
-        vectors = unit_rows(examples.ends, examples.terms, examples.weights, idf)
+        self.words, self.idf = words, idf * relevance(examples, toxic, len(words))
+        vectors = unit_rows(examples.ends, examples.terms, examples.weights, self.idf)
         self.k = max(least, round(share * len(vectors)))
         self.index = BlockMaxIndex(vectors, len(words))
         self.names = [names[i] for i in self.index.order]
@@ -190,8 +207,8 @@ class Model:
 
 
 def platt(raw: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a logistic curve, by Newton steps with a little damping. Votes that tell nothing, or the wrong way, give the slope 0 and the share of toxic examples."""
-    share = (label @ weight + 1) / (weight.sum() + 2) if len(raw) else 0.5
+    """Slope and shift of a logistic curve, by Newton steps with a little damping. Votes that tell nothing, or the wrong way, give the slope 0 and the share of toxic examples; without examples that counts as a quarter."""
+    share = (label @ weight + 1) / (weight.sum() + 2) if len(raw) else 0.25
     flat = 0.0, math.log(share / (1 - share))
     if not len(raw) or label.min() == label.max():
         return flat
@@ -298,8 +315,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     labels: (doc_id, toxic); null ids or labels are left out, contradicting ones count as toxic. held_out: crc32 of the
     id as text mod 5 is 0; such rows, and those with a null id (held_out false), teach nothing. Ids may be of any type
     that has a text form. A null or empty text, or one without a word of the examples, has no neighbours and gets the
-    score of no toxic votes. Without labels all scores are 0.5 and, as there is nothing to reject by, predicted is 0. An
-    empty table gives an empty result. evidence_terms: the text's heaviest words; evidence_examples: ids of its nearest.
+    score of no toxic votes. Without labels all scores are 0.25, as there is nothing to reject by. predicted is 1 for
+    scores of 0.5 or more. An empty table gives an empty result. evidence_terms: the text's heaviest words; evidence_examples: ids of its nearest.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     base = docs.select(column(docs, id_col).alias("id"), text_of(column(docs, text_col)).alias("text"))
@@ -307,7 +324,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     model, table = fit(sample, lambda words: base.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_vectors(words), f"id {kind}, text_hash long, idx array<int>, tf array<int>"))
     scored = table.mapInArrow(_scores(model), f"id {kind}, text_hash long, score double, evidence_terms array<string>, evidence_examples array<string>")
     held_out = F.coalesce(F.crc32(F.col("id").cast("string")) % 5 == 0, F.lit(False))
-    predicted = (F.col("score") >= 0.5).cast("int") if model.index.n else F.lit(0)
+    predicted = (F.col("score") >= 0.5).cast("int")
     return scored.select(F.col("id").alias(id_col), held_out.alias("held_out"), "score", predicted.alias("predicted"), "evidence_terms", F.col("evidence_examples").cast(f"array<{kind}>").alias("evidence_examples"), "text_hash")
 
 

@@ -50,6 +50,7 @@ def test_scores_equal_brute_force(spark):
     train = [(of[i], bad) for i, bad in known if zlib.crc32(str(i).encode()) % 5]
     voc = sorted({w for i, _ in train for w in words[i]})
     idf = np.array([np.log((1 + len(texts)) / (1 + sum(w in c for c in words))) + 1 for w in voc])
+    idf = idf * np.array([brute_relevance([w in words[i] for i, _ in train], [y for _, y in train]) for w in voc])
     full = np.array([[(1 + np.log(c[w])) * x if c[w] else 0.0 for w, x in zip(voc, idf)] for c in words])
     full /= np.maximum(1e-300, np.sqrt((full * full).sum(axis=1)))[:, None]
     bad = np.array([float(y) for _, y in train])
@@ -70,6 +71,31 @@ def test_scores_equal_brute_force(spark):
     assert {r.text or "": r.score for r in seen} == pytest.approx(want, abs=1e-7) and len(got) == len({(i, t) for i, t in texts})
 
 
+def brute_relevance(there, bad):
+    """1 + sqrt(G - 10.83) of the table of presence and label."""
+    g, n = 0.0, len(bad)
+    for h in (True, False):
+        for b in (0, 1):
+            seen = sum(x == h and y == b for x, y in zip(there, bad))
+            expected = sum(x == h for x in there) * sum(y == b for y in bad) / n
+            g += 2 * seen * np.log(seen / expected) if seen else 0.0
+    return 1 + max(0.0, g - 10.83) ** 0.5
+
+
+def test_marks_of_each_language_are_learnt(spark):
+    """Long texts of two alphabets; toxic ones hold four of their alphabet's forty marks, so that no mark is frequent."""
+    rng, rows, labels = random.Random(8), [], []
+    marks = {a: ["".join(rng.choice(a) for _ in range(9)) for _ in range(40)] for a in ("abcdefg", "tuvwxyz")}
+    for i in range(1_000):
+        alphabet, bad = rng.choice(list(marks)), i % 5 == 0
+        rows.append((i, words(rng, 120, alphabet) + " " + " ".join(rng.sample(marks[alphabet], 4) if bad else [])))
+        labels.append((i, int(bad)))
+    got = toxicity.toxicity(spark.createDataFrame(rows, "doc_id int, text string"), spark.createDataFrame(labels, "doc_id int, toxic int")).where("held_out").collect()
+    bad = [r for r in got if r.doc_id % 5 == 0]
+    assert sum(r.predicted for r in bad) >= 0.9 * len(bad) > 20 and sum(r.predicted for r in got if r.doc_id % 5) <= 0.02 * len(got)
+    assert any(set(r.evidence_terms) & set(sum(marks.values(), [])) for r in bad)
+
+
 def test_votes_that_point_the_wrong_way_reject_nothing():
     raw, label = np.array([0.0, 0.3, 0.3, 0.3]), np.array([1.0, 0.0, 0.0, 0.0])
     slope, shift = toxicity.platt(raw, label, np.ones(4))
@@ -118,7 +144,7 @@ def test_toxicity_edges(spark):
     docs, labels, _ = corpus(spark, 60)
     assert toxicity.toxicity(docs.limit(0), labels).count() == 0
     none = toxicity.toxicity(docs, labels.limit(0)).collect()
-    assert {r.score for r in none} == {0.5} and {r.predicted for r in none} == {0}
+    assert {r.score for r in none} == {0.25} and {r.predicted for r in none} == {0}
     clean = toxicity.toxicity(docs, labels.where("toxic = 0")).collect()
     assert all(r.score < 0.5 for r in clean)
 
