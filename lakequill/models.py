@@ -51,6 +51,27 @@ def embed_missing(texts: DataFrame, known: DataFrame, key: str, column: str, **o
     return known.where(F.col("vec").isNotNull()).select(key, "vec").unionByName(embed(fresh, key, column, **options))
 
 
+def named(settings: dict, kind: str) -> dict[str, Callable]:
+    """Models of a kind (embedders by provider, rerankers by '' or '_4b') from settings: names to 'module:function'."""
+    import importlib
+
+    out = {}
+    for name, at in (settings.get(kind) or {}).items():
+        module, function = at.split(":")
+        out[name] = getattr(importlib.import_module(module), function)
+    return out
+
+
+def stand_ins(methods: Sequence[str], providers: Sequence[str], embedders: dict, rerankers: dict) -> list[str]:
+    """What a report must say about methods whose models are stand-ins."""
+    notes = [f"{p}: no embedder is set; vectors are hashed tokens, the same for every such provider" for p in providers if p not in embedders]
+    for suffix in ("", "_4b"):
+        used = [m for m in methods if m.removesuffix("_geo").endswith(f"_rerank{suffix}")]
+        if used and suffix not in rerankers:
+            notes.append(f"{', '.join(used)}: no reranker is set; candidates are ordered by their share of the query's tokens")
+    return notes
+
+
 def supported(model_limit: int, wanted: int) -> int:
     """The wanted length, if the model takes it."""
     if model_limit < wanted:

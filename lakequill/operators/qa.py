@@ -133,7 +133,7 @@ def qrel_rollup(candidates: DataFrame) -> DataFrame:
     ids = lambda cond: F.array_sort(F.collect_list(F.when(cond, F.col("id"))))
     hard = F.collect_list(F.when(other & (F.col("match") == "no") & F.col("bm25_rank").isNotNull(), F.struct("bm25_rank", "id")))
     rows = candidates.groupBy("question_id").agg(
-        F.max(F.when(~other, F.col("match"))).alias("gold_match"), ids(other & (F.col("match") == "yes")).alias("relevant"), ids(other & (F.col("match") == "partly")).alias("partial"),
+        F.max(F.when(~other, F.col("match"))).alias("gold_match"), F.max(F.when(~other, F.col("answers"))).alias("gold_answers"), ids(other & (F.col("match") == "yes")).alias("relevant"), ids(other & (F.col("match") == "partly")).alias("partial"),
         ids(F.col("answers")).alias("answering"), F.transform(F.slice(F.array_sort(hard), 1, 10), lambda x: x["id"]).alias("hard_negatives"),
         (1 + F.count_if(other & (F.col("match") == "yes"))).alias("n_relevant"), (F.count_if(other & (F.col("match") != "no")) >= 10).alias("pool_saturated"),
     )
@@ -190,7 +190,7 @@ def first_attributes(pages: DataFrame, item: str, order: str, attributes: Sequen
 
 
 def array_aggregate(values: str, labels: str, op: Column, exclude: str | None = None) -> Column:
-    """struct<value, label> over an array of numbers with nulls: max, min, mean, sum, count, argmax, argmin; excluded positions and nulls are left out, under two values gives null; the first of equals wins."""
+    """struct<value, label> over an array of numbers with nulls: max, min, mean, sum, count, argmax, argmin; excluded positions and nulls are left out, under two values gives null; the first of equals wins; two digits, ties to even."""
     zipped = F.transform(F.col(values), lambda v, i: F.struct(v.cast("double").alias("v"), F.get(F.col(labels), i).alias("l"), i.alias("i")))
     kept = F.filter(zipped, lambda x: x["v"].isNotNull() & ~F.array_contains(F.col(exclude), x["i"])) if exclude else F.filter(zipped, lambda x: x["v"].isNotNull())
     v = F.transform(kept, lambda x: x["v"])
@@ -198,7 +198,7 @@ def array_aggregate(values: str, labels: str, op: Column, exclude: str | None =
     high, low = F.array_max(v), F.array_min(v)
     where = lambda best: F.get(F.filter(kept, lambda x: x["v"] == best), F.lit(0))["l"]
     value = F.when(op.isin("max", "argmax"), high).when(op.isin("min", "argmin"), low).when(op == "mean", total / F.nullif(F.size(v), F.lit(0))).when(op == "sum", total).when(op == "count", F.size(v).cast("double"))
-    value = F.when(op.isin("argmax", "argmin"), value).otherwise(F.round(value, 2))
+    value = F.when(op.isin("argmax", "argmin"), value).otherwise(F.bround(value, 2))
     label = F.when(op == "argmax", where(high)).when(op == "argmin", where(low))
     return F.when(F.size(v) >= 2, F.struct(value.alias("value"), label.alias("label")))
 

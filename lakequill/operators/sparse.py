@@ -99,7 +99,7 @@ def lex_overlap(pairs: DataFrame, docs: DataFrame, letters: int = 5) -> DataFram
     """pairs (query_id, question, id) to (query_id, lex_overlap): the share of the question's idf weight, by word beginnings, that the document holds.
 
     A later word with the same beginning replaces an earlier one's weight; unknown words count as in one document; null
-    if the question has no weight.
+    if the question has no weight. Three digits, ties to even.
     """
     df = docs.select("id", F.explode(F.array_distinct(words(F.col("text")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     size = docs.agg(F.count(F.lit(1)).alias("n"))
@@ -109,5 +109,5 @@ def lex_overlap(pairs: DataFrame, docs: DataFrame, letters: int = 5) -> DataFram
     beginnings = docs.select("id", F.explode(F.array_distinct(F.transform(words(F.col("text")), lambda t: F.left(t, F.lit(letters))))).alias("beginning"), F.lit(True).alias("there"))
     shared = by_beginning.join(beginnings, ["id", "beginning"], "left")
     total = shared.groupBy("query_id").agg(F.sum("w").alias("total"), F.sum(F.when(F.col("there"), F.col("w")).otherwise(0.0)).alias("found"))
-    share = F.round(F.col("found") / F.nullif(F.col("total"), F.lit(0.0)), 3)
+    share = F.bround(F.col("found") / F.nullif(F.col("total"), F.lit(0.0)), 3)
     return pairs.select("query_id").join(total, "query_id", "left").select("query_id", share.alias("lex_overlap"))

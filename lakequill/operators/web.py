@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from hashlib import sha256
 from html.parser import HTMLParser
@@ -21,16 +22,20 @@ DOCUMENTS = (".pdf", ".doc", ".docx", ".ppt", ".pptx", ".xls", ".xlsx", ".odt")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SKIPPED = frozenset("script style noscript template head nav header footer aside form".split())
 BLOCKS = {"p": "", "li": "- ", "blockquote": "> ", "h1": "# ", "h2": "## ", "h3": "### ", "h4": "#### ", "h5": "##### ", "h6": "###### ", "div": "", "section": "", "article": "", "main": "", "td": "", "th": "", "tr": "", "pre": "", "dt": "", "dd": "", "figcaption": ""}
+#: Stands among the names around an element for one with the role main.
+ROLE_MAIN = "role=main"
 SCHEMA = "url string, kind string, text string, sha256 string, char_count long, language string, title string, links array<struct<label: string, url: string, context: string>>, documents array<struct<label: string, url: string>>, error string"
 
 
 class Node:
-    """An element: name, attributes, parent, and its children and texts in order."""
+    """An element: name, attributes, parent, the names of all elements around it, and its children and texts in order."""
 
-    __slots__ = ("name", "attrs", "up", "parts")
+    __slots__ = ("name", "attrs", "up", "above", "parts")
 
     def __init__(self, name: str, attrs: dict, up: Node | None):
         self.name, self.attrs, self.up, self.parts = name, attrs, up, []
+        own = {up.name, ROLE_MAIN} if up is not None and up.attrs.get("role") == "main" else {up.name} if up is not None else set()
+        self.above: frozenset[str] = frozenset(own) if up is None or not up.above else up.above if own <= up.above else up.above | own  # shared while no new name comes
 
     def walk(self) -> Iterator[Node]:
         stack = [self]
@@ -52,33 +57,34 @@ class Node:
         return " ".join(" ".join(self.texts()).split())
 
     def inside(self, names: frozenset[str] | tuple[str, ...]) -> bool:
-        node = self.up
-        while node is not None:
-            if node.name in names:
-                return True
-            node = node.up
-        return False
+        return not self.above.isdisjoint(names)
 
 
 class _Builder(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("", {}, None)
+        self.open: Counter[str] = Counter()  # names of the elements that are open now
+
+    def _leave(self) -> None:
+        self.open[self.at.name] -= 1
+        self.at = self.at.up
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if self.at.name in ("p", "li", "dt", "dd", "option") and (tag == self.at.name or self.at.name == "p" and tag in BLOCKS):
-            self.at = self.at.up
+            self._leave()
         node = Node(tag, dict(attrs), self.at)
         self.at.parts.append(node)
         if tag not in VOID:
             self.at = node
+            self.open[tag] += 1
 
     def handle_endtag(self, tag: str) -> None:
-        node = self.at
-        while node is not None and node.name != tag:
-            node = node.up
-        if node is not None and node.up is not None:
-            self.at = node.up
+        if not self.open[tag]:
+            return
+        while self.at.name != tag:
+            self._leave()
+        self._leave()
 
     def handle_data(self, data: str) -> None:
         self.at.parts.append(data)
@@ -107,26 +113,30 @@ def to_markdown(node: Node) -> str:
         if text:
             lines.append(prefix + text)
 
-    def visit(n: Node, prefix: str) -> None:
-        for part in n.parts:
+    open_ = [(iter(node.parts), "", None)]  # of each element its parts to come, its prefix and the one that its end closes with
+    while open_:
+        parts, prefix, closing = open_[-1]
+        for part in parts:
             if isinstance(part, str):
                 held.append(part)
             elif part.name in SKIPPED:
                 continue
             elif part.name in BLOCKS:
                 close(prefix)
-                visit(part, BLOCKS[part.name] or prefix if part.name not in ("div", "section", "article", "main") else "")
-                close(BLOCKS[part.name] or prefix)
+                own = BLOCKS[part.name] or prefix
+                open_.append((iter(part.parts), "" if part.name in ("div", "section", "article", "main") else own, own))
+                break
             elif part.name == "br":
                 held.append(" ")
-            elif part.name in ("b", "strong") and part.text():
-                held.append(f"**{part.text()}**")
-            elif part.name in ("i", "em") and part.text():
-                held.append(f"*{part.text()}*")
+            elif part.name in ("b", "strong", "i", "em") and (text := part.text()):
+                held.append(f"**{text}**" if part.name in ("b", "strong") else f"*{text}*")
             else:
-                visit(part, prefix)
-
-    visit(node, "")
+                open_.append((iter(part.parts), prefix, None))
+                break
+        else:
+            open_.pop()
+            if closing is not None:
+                close(closing)
     close("")
     return clean("\n\n".join(lines))
 
@@ -155,19 +165,27 @@ def prose(root: Node) -> str:
 def listing_links(root: Node, url: str, items: bool = True) -> list[dict]:
     """The labelled links of repeated containers: the first kind of container that gives five or more."""
     main = main_of(root)
+    order = list(main.walk()) if main else []
+    nested: set[int] = set()  # elements that hold containers
+    anchors: dict[int, list[tuple[Node, str]]] = {}  # of each element its labelled links, two at most
+    for n in reversed(order):  # children first
+        own = anchors.setdefault(id(n), [])
+        if n.name == "a" and n.attrs.get("href") and (label := n.text()):
+            own.insert(0, (n, label))
+        if n is not main:
+            above = anchors.setdefault(id(n.up), [])
+            above[:0] = own[: 2 - len(above)]
+            if n.name in ("article", "li", "section") or id(n) in nested:
+                nested.add(id(n.up))
     for kind in ("article", "section", "div", *(("li",) if items else ())) if main else ():
         found: dict[tuple, dict] = {}
-        for box in main.walk():
+        for box in order:
             if box is main or box.name != kind or box.inside(("nav", "header", "footer", "aside")):
                 continue
-            if any(n is not box and n.name in ("article", "li", "section") for n in box.walk()):
-                continue
-            anchors = [(a, a.text()) for a in box.walk() if a.name == "a" and a.attrs.get("href")]
-            anchors = [(a, label) for a, label in anchors if label]
-            if len(anchors) != 1:
+            if id(box) in nested or len(anchors[id(box)]) != 1:
                 continue
-            a, label = anchors[0]
-            if label.isdigit() or label in ("...", "‹", "›", "<", ">"):
+            a, label = anchors[id(box)][0]
+            if (label, urljoin(url, a.attrs["href"])) in found or label.isdigit() or label in ("...", "‹", "›", "<", ">"):
                 continue
             context = box.text()
             if context.startswith(label):
@@ -184,21 +202,13 @@ def document_links(root: Node, url: str) -> list[dict]:
     """Links to documents in main parts and articles; the first of each url."""
     found: dict[str, dict] = {}
     for n in root.walk():
-        if n.name == "a" and n.attrs.get("href") and (n.inside(("main", "article")) or _in_role_main(n)):
+        if n.name == "a" and n.attrs.get("href") and (n.inside(("main", "article", ROLE_MAIN)) or n.attrs.get("role") == "main"):
             target = urljoin(url, n.attrs["href"])
             if splitext(urlparse(target).path.lower())[1] in DOCUMENTS:
                 found.setdefault(target, {"label": n.text(), "url": target})
     return list(found.values())
 
 
-def _in_role_main(node: Node) -> bool:
-    while node is not None:
-        if node.attrs.get("role") == "main":
-            return True
-        node = node.up
-    return False
-
-
 def is_child(page: str, link: str) -> bool:
     a, b = urlparse(page), urlparse(link)
     return a.netloc == b.netloc and b.path.startswith(a.path.rstrip("/") + "/")

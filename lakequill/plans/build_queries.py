@@ -473,7 +473,7 @@ def first_page_attributes(t) -> DataFrame:
     """WITH o AS (SELECT l_orderkey, list(CASE WHEN l_discount > 0.01 THEN l_quantity END ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS v, list(l_linenumber ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS n FROM lineitem GROUP BY 1),
     k AS (SELECT l_orderkey, list_filter(list_transform(n, lambda x, i: {'v': v[i], 'l': x, 'i': i - 1}), lambda s: s.v IS NOT NULL AND s.i <> 1) AS k FROM o),
     a AS (SELECT l_orderkey, k, list_transform(k, lambda s: s.v) AS v FROM k), ops AS (SELECT unnest(['max', 'mean', 'sum', 'count', 'argmax', 'argmin']) AS op)
-    SELECT l_orderkey, op, CASE WHEN len(v) >= 2 THEN round(CASE op WHEN 'max' THEN list_max(v) WHEN 'mean' THEN list_sum(v) / len(v) WHEN 'sum' THEN list_sum(v) WHEN 'count' THEN len(v) WHEN 'argmax' THEN list_max(v) ELSE list_min(v) END, 2) END AS value,
+    SELECT l_orderkey, op, CASE WHEN len(v) >= 2 THEN round_even(CASE op WHEN 'max' THEN list_max(v) WHEN 'mean' THEN list_sum(v) / len(v) WHEN 'sum' THEN list_sum(v) WHEN 'count' THEN len(v) WHEN 'argmax' THEN list_max(v) ELSE list_min(v) END, 2) END AS value,
     CASE WHEN len(v) >= 2 THEN CASE op WHEN 'argmax' THEN list_filter(k, lambda s: s.v = list_max(v))[1].l WHEN 'argmin' THEN list_filter(k, lambda s: s.v = list_min(v))[1].l END END AS label FROM a, ops"""
 )
 def table_aggregate(t) -> DataFrame:

@@ -75,8 +75,8 @@ def scores(questions: DataFrame, qrels: DataFrame, rankings: DataFrame, methods:
     return out
 
 
-def report(questions: DataFrame, qrels: DataFrame, rankings: DataFrame, methods: Sequence[str], seconds: dict[str, float], ranks: bool = False, folder: str | None = None) -> str:
-    """Metrics, hit@5 by question type and cost as Markdown; with ranks each question's first relevant rank. A folder gets the latest and a dated copy."""
+def report(questions: DataFrame, qrels: DataFrame, rankings: DataFrame, methods: Sequence[str], seconds: dict[str, float], ranks: bool = False, folder: str | None = None, notes: Sequence[str] = ()) -> str:
+    """Metrics, hit@5 by question type and cost as Markdown; with ranks each question's first relevant rank; notes, such as which models are stand-ins, at the end. A folder gets the latest and a dated copy."""
     n = questions.count()
     rows = scores(questions, qrels, rankings, methods)
     header = list(rows[0]) if rows else ["method"]
@@ -90,6 +90,8 @@ def report(questions: DataFrame, qrels: DataFrame, rankings: DataFrame, methods:
     if ranks:
         table = evaluation.rank_table(qrels, rankings, questions, list(methods))
         parts += ["## Ranks", plain_table(table.columns, [list(r) for r in table.orderBy("question_id").collect()])]
+    if notes:
+        parts += ["## Notes", "\n".join(f"- {n}" for n in notes)]
     text = "\n\n".join(parts) + "\n"
     if folder:
         write_text(text, f"{folder}/eval_latest.txt", f"{folder}/eval_{datetime.now(UTC):%Y%m%d_%H%M%S}.txt")

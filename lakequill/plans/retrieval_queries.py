@@ -131,7 +131,7 @@ def distinctive_terms(t) -> DataFrame:
     q AS (SELECT qid, own.id, ts[i] AS term, i FROM bq JOIN own USING (qid), unnest(range(1, len(ts) + 1)) AS u(i)),
     w AS (SELECT qid, id, left(term, 5) AS b, arg_max(ln((SELECT count(*) FROM documents) / coalesce(df, 1)::DOUBLE), i) AS w FROM q LEFT JOIN df USING (term) GROUP BY ALL),
     pre AS (SELECT DISTINCT id, left(w, 5) AS b FROM (SELECT id, unnest(ws) AS w FROM wd))
-    SELECT w.qid AS query_id, round(sum(CASE WHEN pre.b IS NOT NULL THEN w ELSE 0 END) / nullif(sum(w), 0), 3) AS lex_overlap
+    SELECT w.qid AS query_id, round_even(sum(CASE WHEN pre.b IS NOT NULL THEN w ELSE 0 END) / nullif(sum(w), 0), 3) AS lex_overlap
     FROM w LEFT JOIN pre ON w.id = pre.id AND w.b = pre.b GROUP BY 1"""
 )
 def lex_overlap(t) -> DataFrame:
