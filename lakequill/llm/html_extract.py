@@ -46,6 +46,11 @@ MARKS = frozenset(
     commentlist respond reply replies disqus discussion responses skip hidden""".split()
 )
 NOT_AFTER = frozenset("no has with without non".split())
+#: The header of one of these belongs to the text; related is a mark by itself and before one of those.
+HEADED = frozenset("article post entry story section".split())
+RELATED = frozenset("posts post articles article links link stories items content news pages reading topics videos box list sidebar widget products".split())
+#: A comment, declaration or tag that the page's end cuts off: browsers show nothing of it.
+UNCLOSED = re.compile(r"<(?:!|\?|/?[A-Za-z])")
 DENSE_LINKS = 0.5
 SIGMA = 1.0
 #: The region holds this share of the content at least; a run of content lines below STRAY of the largest has no vote.
@@ -66,8 +71,10 @@ def _marked(value: str) -> bool:
     words = re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", value)
     for name in words.split():
         parts = re.split(r"[^a-z0-9]+", name.lower())
-        if any(p in MARKS and not (i and parts[i - 1] in NOT_AFTER) for i, p in enumerate(parts)):
-            return True
+        for i, p in enumerate(parts):
+            before, after = parts[i - 1] if i else "", parts[i + 1] if i + 1 < len(parts) else ""
+            if p in MARKS and before not in NOT_AFTER and not (p == "header" and before in HEADED) and not (p == "related" and after and after not in RELATED):
+                return True
     return False
 
 
@@ -160,10 +167,11 @@ class Events(HTMLParser):
             self.linked += len(data.strip())
 
 
-def lines_of(html: str, chunk: int = 1 << 16) -> tuple[list[Line], dict[int, str]]:
+def lines_of(html: str) -> tuple[list[Line], dict[int, str]]:
     events = Events()
-    for i in range(0, len(html), chunk):
-        events.feed(html[i : i + chunk])
+    events.feed(html)  # at once: what is still open at the end of a piece would be scanned anew with each further one
+    if UNCLOSED.match(events.rawdata):
+        events.rawdata = ""
     events.close()
     events.flush()
     return events.lines, events.names
@@ -249,7 +257,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """One row for each page: id, url, text, n_chars (code points).
 
     Null or empty html, or a page without article text, gives an empty text. Broken markup is read as far as browsers
-    do: paragraphs and items close each other, an end tag closes what it holds. White space inside a block becomes one
+    do: paragraphs and items close each other, an end tag closes what it holds, and of a comment or tag that the page's
+    end cuts off nothing is shown. White space inside a block becomes one
     blank; pages of any length are read whole; an empty table gives an empty result.
     """
     kind = pages.schema[id_col].dataType.simpleString()

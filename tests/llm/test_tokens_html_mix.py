@@ -249,3 +249,24 @@ def test_mixed_rows_and_empty(spark):
     n = {r.source: r["count"] for r in rows.groupBy("source").count().collect()}
     assert abs(10 * n["a"] - filled({"a": 200, "b": 400})["a"]) <= 5
     assert mixing.mix(df.limit(0)).count() == 0 and mixing.mixed_rows(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("cut", ["<!-- never closed " + "x " * 50, "<a href='x' title=\"" + "y " * 50, "<p class=z", "</div", "<!doctype", "<?php echo"])
+def test_markup_that_the_end_cuts_off_shows_nothing(cut):
+    body = "<article><h1>Title</h1><p>" + "A sentence of the article stands here. " * 5 + "</p>"
+    assert main_text(body + cut) == main_text(body + "</article>") != ""
+
+
+def test_long_unclosed_markup_takes_linear_time():
+    import time
+
+    for start in ("<a ", "<!-- "):
+        began = time.perf_counter()
+        text = main_text("<p>" + "Words of the text come first. " * 10 + "</p>" + start + "data-x='1' " * 600_000)
+        assert text.startswith("Words of the text") and len(text) < 400 and time.perf_counter() - began < 10
+
+
+def test_headers_and_sections_of_the_article_stay():
+    text = "A long paragraph of the article, with many words in it. " * 4
+    page = f"<nav>menu</nav><article><div class='article-header'><h1>The title</h1></div><p>{text}</p><section class='related-work'><p>{text}</p></section><div class='related-posts'><p>{text}</p></div></article>"
+    assert main_text(page).split("\n") == ["The title", text.strip(), text.strip()]
