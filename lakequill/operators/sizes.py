@@ -1,4 +1,4 @@
-"""Broadcast only what has been counted; deal out what lies in few files."""
+"""Broadcast only what has been counted; deal out what is small."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
+SPREAD_BYTES = 16 << 20
 
 
 def small_or_shuffled(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -14,6 +15,7 @@ def small_or_shuffled(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df as it is if it lies in as many files as there are cores, else dealt out over them: a file of one row group is one task, however many cores wait."""
+    """df dealt out over the cores if it is estimated at less than SPREAD_BYTES for each, else as it is: a small file of one row group is one task, however many cores wait."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())  # of the files, without listing them here
+    return df.repartition(cores) if size < cores * SPREAD_BYTES else df
