@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 
@@ -29,8 +30,8 @@ LEAST_VOTERS = 15
 BLOCK = 64
 #: A list is long, and so cut into blocks with maxima, if more than one in so many examples stands in it.
 LONG_LIST = 16
-#: Texts that are looked up together.
-TOGETHER = 128
+#: Texts that are looked up together: their words' lists are held at once.
+TOGETHER = 32
 SHOWN = 5
 #: A word counts beyond chance if its log-likelihood ratio exceeds this: chi-squared at 0.001, one degree of freedom.
 CHANCE = 10.83
@@ -231,14 +232,15 @@ def _vectors(words: list[str], label: str = "text_hash") -> Callable:
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = {w: i for i, w in enumerate(words)}
         for got in source:
-            ends, terms, counts = [0], [], []
-            for text in got.column(1).to_pylist():
-                for word, n in word_counts(text or "").items():
+            ends, terms, counts = array("i", [0]), array("i"), array("i")  # four bytes a number, not an object
+            for text in got.column(1):
+                for word, n in word_counts(text.as_py() or "").items():
                     if (i := at.get(word)) is not None:
                         terms.append(i)
                         counts.append(n)
                 ends.append(len(terms))
-            lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, pa.int32())) for x in (terms, counts)]
+            ends, terms, counts = (pa.array(np.frombuffer(x, np.int32) if len(x) else np.empty(0, np.int32)) for x in (ends, terms, counts))
+            lists = [pa.ListArray.from_arrays(ends, x) for x in (terms, counts)]
             yield pa.RecordBatch.from_arrays([got.column(0), got.column(2), *lists], ["id", label, "idx", "tf"])
 
     return run

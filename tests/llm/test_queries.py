@@ -100,7 +100,7 @@ def test_sql(spark, sf, name):
     import duckdb
 
     con = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
     want = con.sql(ORACLE[name])
     got = QUERIES[name](spark, sf)
