@@ -71,3 +71,29 @@ def test_earlier_similar(spark, threshold):
     got = [tuple(r) for r in earlier_similar(df, "g", "n", "words", threshold).collect()]
     assert len(got) == len(set(got)) and set(got) == brute_similar(rows, threshold)
     assert earlier_similar(df.limit(0), "g", "n", "words").count() == 0
+
+
+def shuffled(df):
+    """Bytes that df's stages write to shuffles."""
+    spark = df.sparkSession
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    stages = lambda: spark.sparkContext._jsc.sc().statusStore().stageList(jvm.java.util.ArrayList(), False, False, gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    written = lambda: {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in (stages().apply(i) for i in range(stages().size()))}
+    before = written()
+    df.write.format("noop").mode("overwrite").save()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    return sum(n for key, n in written().items() if key not in before)
+
+
+def test_similar_sets_do_not_travel_with_each_of_their_words(spark):
+    rng = random.Random(3)
+    rows = [(g, n, [f"w{rng.randrange(900)}" for _ in range(400)]) for g, n in [(g, n) for g in range(100) for n in range(2)]]
+    df = spark.createDataFrame(rows, "g int, n int, words array<string>").repartition(4).persist()
+    df.count()
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # small tables would be sent whole
+    try:
+        assert shuffled(earlier_similar(df, "g", "n", "words")) < 8 * sum(len(w) for _, _, ws in rows for w in ws)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        df.unpersist()
