@@ -97,3 +97,14 @@ def test_similar_sets_do_not_travel_with_each_of_their_words(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
         df.unpersist()
+
+
+def test_rule_flags_keep_a_pages_words_out_of_shuffles(spark):
+    from lakequill.operators import qa
+
+    rng = random.Random(5)
+    body = " ".join(f"{rng.randrange(10**9):x}words" for _ in range(3000))
+    items = [(1, n, f"question {n} of words", "query", ["fact"]) for n in range(300)]
+    i = spark.createDataFrame(items, "page_id int, n int, question string, query string, facts array<string>").repartition(4)
+    flags = qa.rule_flags(i, spark.createDataFrame([(1, "A title", body)], "page_id int, title string, text string").repartition(2))
+    assert shuffled(flags) < 20 * len(body)
