@@ -315,3 +315,24 @@ def test_question_ranks_and_language_flags(spark):
     flags = make("page_id string, n long, flags array<string>", ("a", 0, ["dup"]), ("a", 1, []))
     items = make("page_id string, n long, own boolean, en boolean", ("a", 0, False, None), ("a", 1, True, False))
     assert {r.n: r.flags for r in release.with_language_flags(flags, items, F.col("own"), F.col("en")).collect()} == {0: ["dup", "q_lang"], 1: ["en_lang"]}
+
+
+def _as_sql(spark, name, folder):
+    import duckdb
+
+    con = duckdb.connect()
+    for f in folder.glob("*.parquet"):
+        con.execute(f"create view {f.stem} as select * from read_parquet('{f}')")
+    found = con.execute(registry.ORACLE[name])
+    got = registry.QUERIES[name](spark, str(folder)).select(*(c[0] for c in found.description))
+    return sorted(map(repr, map(tuple, got.collect()))), sorted(map(repr, found.fetchall()))
+
+
+def test_label_consistency_repeats_by_words(spark, tmp_path):
+    import pandas as pd
+
+    texts = ["Hello, world", "hello world!", "Hello  world", "other", "ΟΔΟΣ x", "οδοσ x"]
+    pd.DataFrame({"doc_id": range(6), "text": texts, "lang": "en"}).to_parquet(tmp_path / "documents.parquet")
+    pd.DataFrame({"doc_id": range(6), "quality": 1, "toxic": 0}).to_parquet(tmp_path / "labels.parquet")
+    got, expected = _as_sql(spark, "label_consistency", tmp_path)
+    assert got == expected and sum("repeated" in row for row in got) == 3
