@@ -12,24 +12,29 @@ from lakequill.operators.ranking import min_max, top_k
 KM_A_DEGREE = 111.0
 
 
-def within(anchors: DataFrame, places: DataFrame, km: float) -> DataFrame:
-    """(anchor_id, place_id, km): places at most so far from an anchor, the anchor itself left out.
+def within(anchors: DataFrame, places: DataFrame, km: float, digits: int | None = None) -> DataFrame:
+    """(anchor_id, place_id, km): places at most so far from an anchor, the anchor itself left out; km rounded to digits, if given.
 
-    anchors (anchor_id, lat, lon), places (place_id, lat, lon). Both sides are cut to grid cells of the distance's height,
-    anchors looking into the cells around them; only pairs of neighbouring cells meet, by an equi-join.
+    anchors (anchor_id, lat, lon), places (place_id, lat, lon). Distinct points are cut to grid cells of the distance's
+    height, those of anchors looking into the cells around them; only points of neighbouring cells meet, by an equi-join.
+    The ids join their points last, so that a distance is computed once, however many rows lie at its two ends.
     """
     cell = km / KM_A_DEGREE
     rows = F.floor(F.col("lat") / cell).cast("long")
     # A degree of longitude shrinks towards the poles: the width in cells follows the row, the same on both sides.
     width = lambda row: F.greatest(F.cos(F.radians(F.least(F.lit(89.0), F.greatest(F.abs(row * cell), F.abs((row + 1) * cell))))), F.lit(0.017))
-    p = places.withColumn("row", rows).withColumn("col", F.floor(F.col("lon") * width(F.col("row")) / cell).cast("long"))
-    p = p.select("place_id", F.col("lat").alias("plat"), F.col("lon").alias("plon"), "row", "col")
-    a = anchors.withColumn("row", F.explode(F.sequence(rows - 1, rows + 1)))
+    p = places.select("lat", "lon").distinct().withColumn("row", rows).withColumn("col", F.floor(F.col("lon") * width(F.col("row")) / cell).cast("long"))
+    p = p.select(F.col("lat").alias("plat"), F.col("lon").alias("plon"), "row", "col")
+    a = anchors.select("lat", "lon").distinct().withColumn("row", F.explode(F.sequence(rows - 1, rows + 1)))
     at = F.col("lon") * width(F.col("row")) / cell
     reach = F.lit(1.2)  # of the row's own width, so that cells at the row's narrow side are seen too
     a = a.withColumn("col", F.explode(F.sequence(F.floor(at - reach).cast("long"), F.floor(at + reach).cast("long"))))
-    found = a.join(p, ["row", "col"]).withColumn("km", haversine(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon")))
-    return found.where((F.col("km") <= km) & (F.col("anchor_id") != F.col("place_id"))).select("anchor_id", "place_id", "km")
+    near = a.join(p, ["row", "col"]).withColumn("km", haversine(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon"))).where(F.col("km") <= km)
+    near = near.select("lat", "lon", "plat", "plon", F.round("km", digits).alias("km") if digits is not None else F.col("km"))
+    found = near.join(anchors.select("anchor_id", "lat", "lon"), ["lat", "lon"]).select("anchor_id", "plat", "plon", "km")
+    found = found.repartition(int(places.sparkSession.conf.get("spark.sql.shuffle.partitions")), "anchor_id")  # few rows that become many: a number keeps them apart
+    ends = places.select("place_id", F.col("lat").alias("plat"), F.col("lon").alias("plon"))
+    return found.join(ends, ["plat", "plon"]).where(F.col("anchor_id") != F.col("place_id")).select("anchor_id", "place_id", "km")
 
 
 def geo_rerank(ranking: DataFrame, places: DataFrame, points: DataFrame, limit: int = 10, weight: float = 0.3, overfetch: int = 4) -> DataFrame:

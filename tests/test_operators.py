@@ -71,6 +71,16 @@ def test_geo(spark):
     assert ranked(got.where("query_id = 2")) == ["far", "unlocated", "near"]
 
 
+def test_range_join_of_rows_at_the_same_points(spark):
+    rows = [(i, 45.0 + i % 3 / 100, 14.0) for i in range(60)] + [(60, None, 14.0)]
+    a, p = df(spark, "anchor_id long, lat double, lon double", *rows), df(spark, "place_id long, lat double, lon double", *rows)
+    found = geo.within(a, p, 1.2, digits=3)
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(set(got)) and {x[:2] for x in got} == {(i, j) for i, _, _ in rows[:60] for j, _, _ in rows[:60] if i != j and abs(i % 3 - j % 3) <= 1}
+    assert {x[2] for x in got} == {0.0, 1.112}
+    assert found.rdd.getNumPartitions() > 1  # the rows come out of more than one task
+
+
 def test_range_join_equals_cross_join(spark):
     import random
 
