@@ -71,6 +71,20 @@ def test_geo(spark):
     assert ranked(got.where("query_id = 2")) == ["far", "unlocated", "near"]
 
 
+def test_chunks_are_handed_on_in_parts():
+    import pyarrow as pa
+
+    from lakequill.operators import chunking
+
+    schema = pa.schema([(n, pa.int64() if n in ("size", "n", "tokens") else pa.string()) for n in (f.split()[0] for f in chunking.SCHEMA.split(", "))])
+    texts = [f"# {i}\n" + "some words here. " * 3000 for i in range(60)]
+    got = pa.RecordBatch.from_pydict({"id": [str(i) for i in range(60)], "title": ["t"] * 60, "text": texts})
+    out = list(chunking._batches(schema, chunking.SIZES, chunking.count_units, iter([got])))
+    assert len(out) > 5 and all(sum(map(len, b.column("text").to_pylist())) < 2 * chunking.HELD for b in out)
+    want = [row for i, text in enumerate(texts) for row in chunking.chunks_of(str(i), "t", text)]
+    assert [tuple(r.values()) for b in out for r in b.to_pylist()] == want
+
+
 def test_range_join_of_rows_at_the_same_points(spark):
     rows = [(i, 45.0 + i % 3 / 100, 14.0) for i in range(60)] + [(60, None, 14.0)]
     a, p = df(spark, "anchor_id long, lat double, lon double", *rows), df(spark, "place_id long, lat double, lon double", *rows)
