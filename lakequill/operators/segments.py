@@ -27,8 +27,8 @@ from lakequill.operators.ranking import DIGITS, top_k
 from lakequill.operators.sparse import K1, B, idf, query_terms
 from lakequill.operators.store import materialized
 
-#: Documents of a window, of a segment, and tokens of a segment: a task holds one segment.
-WINDOW, SEGMENT_DOCS, SEGMENT_TOKENS = 128, 16_384, 1 << 24
+#: Documents of a window, of a segment, and tokens of a segment: a task holds one segment, at about 100 bytes a token while it is laid out.
+WINDOW, SEGMENT_DOCS, SEGMENT_TOKENS = 128, 16_384, 1 << 20
 #: Pairs of query and term of one pass of a search: their weights travel to the tasks.
 PAIRS = 1 << 18
 
@@ -98,7 +98,8 @@ def _segments(schema: pa.Schema, most_docs: int, most_tokens: int, width: int, s
     for got in source:
         at = 0
         while at < got.num_rows:
-            part = got.slice(at, most_docs - docs)
+            ends = got.column("tokens").offsets.to_numpy()[at + 1 :].astype(np.int64) - got.column("tokens").offsets[at].as_py()
+            part = got.slice(at, min(most_docs - docs, int(np.searchsorted(ends, most_tokens - size)) + 1))  # up to the document that fills it
             held.append(part)
             at, docs, size = at + part.num_rows, docs + part.num_rows, size + len(part.column("tokens").flatten())
             if docs >= most_docs or size >= most_tokens:

@@ -102,3 +102,21 @@ def test_frontier_gives_the_exact_maximum():
         for mean in (5.0, 80.0, 500.0):
             own = max(segments._saturation(mean, 1.5, 0.75, f, lengths[r["window"]][s]) for f, s in zip(r["tfs"], spots))
             assert own == max(segments._saturation(mean, 1.5, 0.75, f, length) for f, length in zip(r["best_tfs"], r["best_lengths"]))
+
+
+def test_a_segment_closes_inside_a_batch(monkeypatch):
+    """One batch of many documents is many segments: a task holds no more than most_tokens and a document."""
+    import types
+
+    import pyarrow as pa
+
+    from lakequill.operators import segments
+
+    monkeypatch.setattr(segments, "TaskContext", types.SimpleNamespace(get=lambda: types.SimpleNamespace(partitionId=lambda: 0)))
+    seen = []
+    monkeypatch.setattr(segments, "_segment", lambda number, ids, lists, schema, width: seen.append((ids.to_pylist(), len(lists.flatten()))) or pa.RecordBatch.from_pydict({"x": [1]}))
+    got = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array([["a"] * 50] * 1000)], ["id", "tokens"])
+    for parts in ([got], [got.slice(0, 300), got.slice(300)]):
+        seen.clear()
+        list(segments._segments(None, 10_000, 500, 128, iter(parts)))
+        assert [i for ids, _ in seen for i in ids] == list(range(1000)) and max(n for _, n in seen) <= 550
