@@ -8,10 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakequill.operators.sizes import small_or_shuffled
+from lakequill.operators.store import materialized
+
 DIGITS = 9
 
 
@@ -21,6 +25,17 @@ def top_k(scored: DataFrame, limit: int, *ties: str, by: str = "query_id") -> Da
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select(by, "rank", "chunk_id", "score")
 
 
+def best_cells(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the k best finite scores of each row; of equal ones those of the first columns."""
+    if scores.shape[1] > k:
+        least = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+        more, same = scores > least[:, None], scores == least[:, None]
+        keep = more | (same & (np.cumsum(same, axis=1) <= (k - more.sum(axis=1))[:, None]))
+    else:
+        keep = np.ones(scores.shape, bool)
+    return np.nonzero(keep & np.isfinite(scores))
+
+
 def min_max(score: Column, *by: str, flat: float = 1.0) -> Column:
     """Between 0 and 1 within the group; `flat` for all where they are equal."""
     w = Window.partitionBy(*by)
@@ -62,8 +77,10 @@ def rerank(ranking: DataFrame, queries: DataFrame, chunks: DataFrame, limit: int
     scorer: a column function of (query, text), or with batches=True a mapInPandas function that adds `score` to
     (query_id, rank, chunk_id, query, text), which is where a model goes.
     """
-    pairs = ranking.where(F.col("rank") <= candidates).select("query_id", "rank", "chunk_id")
-    pairs = pairs.join(queries.select("query_id", F.col("text").alias("query")), "query_id").join(chunks.select(F.col("id").alias("chunk_id"), "text"), "chunk_id")
+    pairs = materialized(ranking.where(F.col("rank") <= candidates).select("query_id", "rank", "chunk_id"), "rerank-pairs")
+    texts = chunks.select(F.col("id").alias("chunk_id"), "text")
+    held = texts.join(small_or_shuffled(pairs.select("chunk_id").distinct()), "chunk_id", "left_semi")  # texts of no candidate stay where they are
+    pairs = pairs.join(queries.select("query_id", F.col("text").alias("query")), "query_id").join(held, "chunk_id")
     pairs = pairs.select("query_id", "rank", "chunk_id", "query", "text")
     if batches:
         scored = pairs.mapInPandas(scorer, pairs.schema.simpleString()[7:-1].replace(":", " ") + ", score double")

@@ -308,3 +308,34 @@ def test_methods_run(spark):
     for lacking in ({}, {"qwen": vec.limit(1)}):
         with pytest.raises(RuntimeError, match="index --method qwen"):
             catalog.ensure_ready(["qwen"], catalog.Corpus(chunks, lacking))
+
+
+def stage_rows(spark, work):
+    """Rows that the stages of work() shuffle."""
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+    stages = lambda: store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+    known = {stages().apply(i).stageId() for i in range(stages().size())}
+    work()
+    found = stages()
+    return sum(found.apply(i).shuffleWriteRecords() for i in range(found.size()) if found.apply(i).stageId() not in known)
+
+
+def test_bm25_pairs_are_no_rows(spark):
+    """Every query shares a word with every document: neither the pairs nor the documents' postings are shuffled."""
+    docs = df(spark, "id long, text string", *((i, f"common word{i} word{i + 1}") for i in range(400)), (400, None), (401, ""))
+    queries = df(spark, "query_id long, text string", *((i, f"common word{i} word{i}") for i in range(300)))
+    got = []
+    assert stage_rows(spark, lambda: got.extend(sparse.bm25(queries, docs, 3).collect())) < 300 * 400 / 4
+    first = {r.query_id: r.chunk_id for r in got if r["rank"] == 1}
+    # word i stands in documents i - 1 and i: equal scores, the smaller id is first
+    assert first == {i: max(0, i - 1) for i in range(300)} and len(got) == 900
+
+
+def test_bm25_beyond_a_broadcast_and_in_many_blocks(spark, monkeypatch):
+    docs = df(spark, "id string, text string", *((f"d{i:03}", " ".join(f"w{i * k % 37}" for k in range(1, 30))) for i in range(300)))
+    queries = df(spark, "query_id long, text string", *((i, f"w{i % 37} w{i % 11} w{i % 11}") for i in range(80)))
+    want = [(r.query_id, r["rank"], r.chunk_id, round(r.score, 9)) for r in sparse.bm25(queries, docs, 5).orderBy("query_id", "rank").collect()]
+    for name, value in (("BROADCAST_ROWS", 0), ("PRODUCTS", 7)):
+        monkeypatch.setattr(sparse, name, value)
+    got = [(r.query_id, r["rank"], r.chunk_id, round(r.score, 9)) for r in sparse.bm25(queries, docs, 5).orderBy("query_id", "rank").collect()]
+    assert got == want and len(want) == 400
