@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -339,3 +340,27 @@ def test_bm25_beyond_a_broadcast_and_in_many_blocks(spark, monkeypatch):
         monkeypatch.setattr(sparse, name, value)
     got = [(r.query_id, r["rank"], r.chunk_id, round(r.score, 9)) for r in sparse.bm25(queries, docs, 5).orderBy("query_id", "rank").collect()]
     assert got == want and len(want) == 400
+
+
+def test_passages_of_all_lengths_in_many_slices(spark, monkeypatch):
+    """Shared windows, passages over the edge of a slice or of two texts, short, empty, repeated and null ones: as by `in`."""
+    import random
+
+    from lakequill.operators import passages
+
+    monkeypatch.setattr(passages, "SLICE", 64)
+    rng = random.Random(3)
+    word = lambda: rng.choice(["a", "ab", "bä", "caaa", "aaaa", "日本"])
+    texts = [" ".join(word() for _ in range(rng.randrange(0, 90))) for _ in range(60)]
+    asked = [t[a : a + rng.choice([1, 2, 3, 9, 31, 32, 40, 120])] for t in texts for a in (0, rng.randrange(0, 1 + len(t) // 2))] + ["a" * 33, "", "a a", texts[0] + texts[1]]
+    quotes = sorted({q.encode() for q in asked})
+    data = [t.encode() for t in texts]
+    got = list(passages.occurrences(b"".join(data), np.cumsum([len(t) for t in data]), quotes))
+    assert len(got) == len(set(got)) and set(got) == {(t, p) for t, text in enumerate(data) for p, q in enumerate(quotes) if q in text}
+    found = evaluation.passages_in(df(spark, "item_id long, text string", (1, "aa  bb"), (2, " aa bb "), (3, None), (4, " "), (None, "bb")), df(spark, "id string, text string", ("x", "xaa\n bbx"), ("y", "a a"), ("z", None)), least=1)
+    assert sorted(map(tuple, found.collect()), key=str) == sorted([(1, "x"), (2, "x"), (None, "x")], key=str)
+
+
+def test_passages_move_no_text(spark):
+    docs = df(spark, "id long, text string", *((i, " ".join(f"w{i * k % 91}" for k in range(60))) for i in range(300)))
+    assert stage_rows(spark, lambda: evaluation.passages_in(df(spark, "item_id long, text string", (0, "w5 w6 w7"), (1, "w7 w14 w21 w28 w35 w42 w49 w56 w63")), docs).collect()) < 100
