@@ -16,8 +16,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakequill.operators.ranking import top_k
+from lakequill.operators.ranking import DIGITS, best_cells, top_k
 from lakequill.operators.sizes import BROADCAST_ROWS
+from lakequill.operators.store import materialized
 
 #: Of a block of chunks and of queries; their product of float64 takes 8 * 8,192 * 256 bytes.
 BLOCK_BYTES = 16 << 20
@@ -54,7 +55,7 @@ def blocks(rows: DataFrame, id_col: str, most: int, more: dict[str, Column] | No
 
 
 def _matrix(data: pa.Scalar, rows: int) -> np.ndarray:
-    return np.frombuffer(data.as_py(), np.float32).reshape(rows, -1).astype(np.float64)
+    return np.frombuffer(data.as_py(), np.float32).reshape(rows, -1)
 
 
 def _met(queries: DataFrame, n: int, dims: int, chunks: DataFrame) -> DataFrame:
@@ -69,6 +70,41 @@ def _size(queries: DataFrame) -> tuple[int, int]:
     return found["n"], found["dims"] or 0
 
 
+def _exact_cells(sims: np.ndarray, other: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    sims = np.round(sims, DIGITS)
+    sims[other] = -np.inf
+    q, c = best_cells(sims, k)
+    return q, c, sims[q, c]
+
+
+def _cells(asked: np.ndarray, held: np.ndarray, other: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query, chunk and score of the k best of each query; other: pairs that don't count.
+
+    Products in single precision leave what can't be among them out, by a bound on their error; the rest is computed in
+    double precision, as is all where that is too much, or where the numbers have no single precision.
+    """
+    whole = lambda: asked.astype(np.float64) @ held.astype(np.float64).T
+    with np.errstate(all="ignore"):
+        rough = asked @ held.T
+        margin = 4 * (asked.shape[1] + 4) * 2.0**-24 * np.linalg.norm(asked, axis=1) * np.linalg.norm(held, axis=1).max(initial=0) + 4 * 10.0**-DIGITS + 1e-37
+    if not (np.isfinite(rough).all() and np.isfinite(margin).all()):
+        return _exact_cells(whole(), other, k)
+    rough[other] = -np.inf
+    n = rough.shape[1]
+    least = rough.max(axis=1) if k == 1 else np.partition(rough, n - k, axis=1)[:, n - k] if n > k else np.full(len(rough), -np.inf)
+    near = rough >= (least - margin)[:, None].astype(np.float32)
+    near &= np.isfinite(rough)
+    if np.count_nonzero(near) > rough.size // asked.shape[1]:  # as many numbers as the matrix has
+        return _exact_cells(whole(), other, k)
+    q, c = np.nonzero(near)
+    score = np.round(np.einsum("ij,ij->i", asked[q].astype(np.float64), held[c].astype(np.float64)), DIGITS)
+    order = np.lexsort((c, -score, q))
+    q, c, score = q[order], c[order], score[order]
+    first = np.searchsorted(q, q)
+    use = np.arange(len(q)) - first < k
+    return q[use], c[use], score[use]
+
+
 def _best(k: int, grouped: bool, schema: pa.Schema) -> Callable:
     """Pairs of blocks to the k best chunks of each query, by the score to nine digits, then by id."""
 
@@ -77,19 +113,12 @@ def _best(k: int, grouped: bool, schema: pa.Schema) -> Callable:
             for i in range(got.num_rows):
                 row = {name: got.column(name)[i] for name in got.schema.names}
                 ids, asked = row["ids"].values, row["q_ids"].values
-                sims = np.round(_matrix(row["q_data"], len(asked)) @ _matrix(row["data"], len(ids)).T, 9)
+                other = np.zeros((len(asked), len(ids)), bool)
                 if grouped:
                     both = pa.concat_arrays([row["q_group"].values, row["group"].values]).dictionary_encode(null_encoding="encode").indices.to_numpy()
-                    own, other = both[: len(asked)], both[len(asked) :]  # groups as numbers
-                    sims[own[:, None] == other[None, :]] = -np.inf
-                if sims.shape[1] > k:  # at least the k-th largest, of equals the first ones: ids rise within a block
-                    least = np.partition(sims, sims.shape[1] - k, axis=1)[:, sims.shape[1] - k]
-                    more, same = sims > least[:, None], sims == least[:, None]
-                    keep = more | (same & (np.cumsum(same, axis=1) <= (k - more.sum(axis=1))[:, None]))
-                else:
-                    keep = np.ones(sims.shape, bool)
-                q, c = np.nonzero(keep & np.isfinite(sims))
-                yield pa.RecordBatch.from_arrays([asked.take(pa.array(q)), ids.take(pa.array(c)), pa.array(sims[q, c])], schema=schema)
+                    other = both[: len(asked), None] == both[None, len(asked) :]  # groups as numbers
+                q, c, score = _cells(_matrix(row["q_data"], len(asked)), _matrix(row["data"], len(ids)), other, k)
+                yield pa.RecordBatch.from_arrays([asked.take(pa.array(q)), ids.take(pa.array(c)), pa.array(score)], schema=schema)
 
     return run
 
@@ -117,7 +146,7 @@ def _above(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row = {name: got.column(name)[i] for name in got.schema.names}
             ids, asked = row["ids"].values, row["q_ids"].values
             base = row["q_own"].values.to_numpy(zero_copy_only=False)
-            sims = np.round(_matrix(row["q_data"], len(asked)) @ _matrix(row["data"], len(ids)).T, 9)
+            sims = np.round(_matrix(row["q_data"], len(asked)).astype(np.float64) @ _matrix(row["data"], len(ids)).astype(np.float64).T, DIGITS)
             own = pc.index_in(row["q_own_id"].values, ids).to_numpy(zero_copy_only=False)  # nan: not in this block
             here = np.flatnonzero(~np.isnan(own.astype(float)))
             sims[here, own[here].astype(np.int64)] = -np.inf
@@ -137,14 +166,14 @@ def own_rank_margin(queries: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def centred(vectors: DataFrame, dims: int | None = None) -> DataFrame:
-    """(chunk_id, ..., vec): cut to dims, unit length, less the mean of all, unit length again."""
+    """(chunk_id, ..., vec), written: cut to dims, unit length, less the mean of all, unit length again."""
     from lakequill.functions.vectors import shortened, unit
 
-    first = vectors.withColumn("vec", shortened(F.col("vec"), dims) if dims else unit(F.col("vec")))
+    first = materialized(vectors.withColumn("vec", shortened(F.col("vec"), dims) if dims else unit(F.col("vec"))), "unit-vectors")
     means = first.select(F.posexplode("vec").alias("dim", "x")).groupBy("dim").agg(F.avg("x").alias("x"))
     mean = means.agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("mean"))  # one row of one vector
     moved = first.crossJoin(F.broadcast(mean)).withColumn("vec", F.zip_with("vec", "mean", lambda a, b: a - b)).drop("mean")
-    return moved.withColumn("vec", unit(F.col("vec")))
+    return materialized(moved.withColumn("vec", unit(F.col("vec"))), "centred-vectors")
 
 
 def nearest_other(vectors: DataFrame, group_col: str) -> DataFrame:

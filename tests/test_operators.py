@@ -364,3 +364,21 @@ def test_passages_of_all_lengths_in_many_slices(spark, monkeypatch):
 def test_passages_move_no_text(spark):
     docs = df(spark, "id long, text string", *((i, " ".join(f"w{i * k % 91}" for k in range(60))) for i in range(300)))
     assert stage_rows(spark, lambda: evaluation.passages_in(df(spark, "item_id long, text string", (0, "w5 w6 w7"), (1, "w7 w14 w21 w28 w35 w42 w49 w56 w63")), docs).collect()) < 100
+
+
+def test_dense_cells_equal_double_precision():
+    """Ties, differences below single precision, groups, numbers beyond it: as in double precision, of which few cells are computed."""
+    rng = np.random.default_rng(4)
+    held = rng.normal(size=(500, 48)).astype(np.float32)
+    held[100:140] = held[:40]
+    held[200] = held[7] + np.float32(1e-7)
+    asked = held[::9].copy()
+    for scale, k in ((1, 1), (1, 5), (1e-3, 3), (1e25, 1), (1, 600)):
+        for other in (np.zeros((len(asked), len(held)), bool), (np.arange(len(asked)) % 3)[:, None] == (np.arange(len(held)) % 3)[None, :]):
+            a, h = asked * np.float32(scale), held * np.float32(scale)
+            want = dense._exact_cells(a.astype(np.float64) @ h.astype(np.float64).T, other, k)
+            got = dense._cells(a, h, other, k)
+            assert sorted(zip(*(x.tolist() for x in got[:2]))) == sorted(zip(*(x.tolist() for x in want[:2])))
+            assert np.allclose(np.sort(got[2]), np.sort(want[2]), rtol=1e-12, atol=2e-9)
+    same = np.ones((300, 4), np.float32)
+    assert dense._cells(same, same, np.eye(300, dtype=bool), 1)[1].tolist() == [1, *[0] * 299]
