@@ -382,3 +382,13 @@ def test_dense_cells_equal_double_precision():
             assert np.allclose(np.sort(got[2]), np.sort(want[2]), rtol=1e-12, atol=2e-9)
     same = np.ones((300, 4), np.float32)
     assert dense._cells(same, same, np.eye(300, dtype=bool), 1)[1].tolist() == [1, *[0] * 299]
+
+
+def test_distinctive_terms_shuffle_no_frequent_word(spark):
+    """Words of many documents, by far the most rows, leave before the shuffles; the rest keep counts and first places."""
+    common = " ".join(f"common{k}" for k in range(50))
+    docs = df(spark, "id long, text string", *((i, f"{common} rare{i // 2} x1 12 Own{i} own{i} rare{i // 2} ab") for i in range(300)), (300, None))
+    got = []
+    rows = stage_rows(spark, lambda: got.extend(sparse.distinctive_terms(docs, 2).orderBy("id", "rank").collect()))
+    assert [(r.id, r["rank"], r.term) for r in got] == [(i, k, t) for i in range(300) for k, t in ((1, f"own{i}"), (2, f"rare{i // 2}"))]
+    assert rows < 300 * 50 / 2
