@@ -392,3 +392,23 @@ def test_distinctive_terms_shuffle_no_frequent_word(spark):
     rows = stage_rows(spark, lambda: got.extend(sparse.distinctive_terms(docs, 2).orderBy("id", "rank").collect()))
     assert [(r.id, r["rank"], r.term) for r in got] == [(i, k, t) for i in range(300) for k, t in ((1, f"own{i}"), (2, f"rare{i // 2}"))]
     assert rows < 300 * 50 / 2
+
+
+def test_passages_beyond_a_broadcast(spark, monkeypatch):
+    from lakequill.operators import passages
+
+    docs = df(spark, "id long, text string", *((i, f"one two w{i} three") for i in range(50)))
+    asked = df(spark, "item_id long, text string", *((i, f"two  w{i}") for i in range(30)))
+    monkeypatch.setattr(passages, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(passages, "PASSAGES", 1)
+    got = {(r.question_id, r.chunk_id) for r in evaluation.passages_in(asked, docs).collect()}
+    assert got == {(i, j) for i in range(30) for j in range(50) if f"two w{i}" in f"one two w{j} three"}
+
+
+def test_lex_overlap_shuffles_no_other_documents_words(spark):
+    docs = df(spark, "id long, text string", *((i, " ".join(f"w{i}x{k}" for k in range(50))) for i in range(300)))
+    pairs = df(spark, "query_id long, question string, id long", (1, "w7x1 w7x2 other", 7))
+    got = []
+    # Three words of equal weight (each in one document, or in none); beginnings of five letters: w7x1, w7x2, other.
+    assert stage_rows(spark, lambda: got.extend(sparse.lex_overlap(pairs, docs).collect())) < 300 * 50 / 10
+    assert [tuple(r) for r in got] == [(1, 0.667)]
