@@ -2,7 +2,8 @@
 
 Rows of both sides are packed into blocks, matrices of bounded bytes, in the executors; no vector passes the driver. Each
 block of the stated queries meets each block of chunks, is multiplied with it and leaves its best k, so a shuffle sees
-k rows for each query and block, whatever the number of chunks.
+k rows for each query and block, whatever the number of chunks. Blocks are dealt out between packing and meeting: a task
+that packs and a task that multiplies run one Python worker each, and no task runs both.
 """
 
 from __future__ import annotations
@@ -20,9 +21,11 @@ from lakequill.operators.ranking import DIGITS, best_cells, top_k
 from lakequill.operators.sizes import BROADCAST_ROWS
 from lakequill.operators.store import materialized
 
-#: Of a block of chunks and of queries; their product of float64 takes 8 * 8,192 * 256 bytes.
+#: Of a block of chunks and of queries; Spark hands over 10,000 rows at once, which are one block then.
 BLOCK_BYTES = 16 << 20
-ROWS, QUERIES = 8_192, 256
+ROWS, QUERIES = 10_000, 10_000
+#: Numbers of a product that are held at once, as float64 8 MB; a block of queries is taken in slices.
+PRODUCT = 1 << 20
 #: Queries times dimensions that may be broadcast, as float32 64 MB.
 BROADCAST_NUMBERS = 16 << 20
 
@@ -55,13 +58,24 @@ def blocks(rows: DataFrame, id_col: str, most: int, more: dict[str, Column] | No
 
 
 def _matrix(data: pa.Scalar, rows: int) -> np.ndarray:
-    return np.frombuffer(data.as_py(), np.float32).reshape(rows, -1)
+    return np.frombuffer(data.as_buffer(), np.float32).reshape(rows, -1)
 
 
-def _met(queries: DataFrame, n: int, dims: int, chunks: DataFrame) -> DataFrame:
-    """Each block of queries with each of chunks; the queries are broadcast if they are few enough, else pairs of partitions meet."""
-    small = n <= BROADCAST_ROWS and n * dims <= BROADCAST_NUMBERS
-    return chunks.crossJoin(F.broadcast(queries)) if small else chunks.hint("shuffle_replicate_nl").crossJoin(queries)
+def _slices(asked: int, held: int) -> Iterator[slice]:
+    """The queries of a block in turn, as many as make at most PRODUCT numbers with the chunks of another."""
+    step = max(1, PRODUCT // max(1, held))
+    return (slice(low, min(asked, low + step)) for low in range(0, asked, step))
+
+
+def _met(queries: DataFrame, n: int, dims: int, chunks: DataFrame, q_more: dict[str, Column], more: dict[str, Column]) -> DataFrame:
+    """Each block of queries (query_id, vec) with each of chunks (chunk_id, vec); the queries are broadcast if they are few enough, else pairs of partitions meet."""
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    parts = 1 + n // (4 * QUERIES)
+    held = blocks(chunks, "chunk_id", ROWS, more)
+    if n <= BROADCAST_ROWS and n * dims <= BROADCAST_NUMBERS:
+        # A pair of blocks repeats both: full blocks of queries and several tasks for a core keep what a worker is handed at once small.
+        return held.repartition(4 * cores).crossJoin(F.broadcast(blocks(queries.repartition(parts), "query_id", QUERIES, q_more, "q_")))
+    return held.repartition(cores).hint("shuffle_replicate_nl").crossJoin(blocks(queries, "query_id", QUERIES, q_more, "q_").repartition(parts))
 
 
 def _size(queries: DataFrame) -> tuple[int, int]:
@@ -113,12 +127,12 @@ def _best(k: int, grouped: bool, schema: pa.Schema) -> Callable:
             for i in range(got.num_rows):
                 row = {name: got.column(name)[i] for name in got.schema.names}
                 ids, asked = row["ids"].values, row["q_ids"].values
-                other = np.zeros((len(asked), len(ids)), bool)
-                if grouped:
-                    both = pa.concat_arrays([row["q_group"].values, row["group"].values]).dictionary_encode(null_encoding="encode").indices.to_numpy()
-                    other = both[: len(asked), None] == both[None, len(asked) :]  # groups as numbers
-                q, c, score = _cells(_matrix(row["q_data"], len(asked)), _matrix(row["data"], len(ids)), other, k)
-                yield pa.RecordBatch.from_arrays([asked.take(pa.array(q)), ids.take(pa.array(c)), pa.array(score)], schema=schema)
+                vecs, held = _matrix(row["q_data"], len(asked)), _matrix(row["data"], len(ids))
+                both = pa.concat_arrays([row["q_group"].values, row["group"].values]).dictionary_encode(null_encoding="encode").indices.to_numpy() if grouped else None
+                for s in _slices(len(asked), len(ids)):
+                    other = both[s, None] == both[None, len(asked) :] if grouped else np.zeros((s.stop - s.start, len(ids)), bool)  # groups as numbers
+                    q, c, score = _cells(vecs[s], held, other, k)
+                    yield pa.RecordBatch.from_arrays([asked.take(pa.array(q + s.start)), ids.take(pa.array(c)), pa.array(score)], schema=schema)
 
     return run
 
@@ -134,7 +148,7 @@ def dense_top_k(queries: DataFrame, chunks: DataFrame, limit: int = 10, group_co
     q_type, c_type = (df.schema[c].dataType.simpleString() for df, c in ((queries, "query_id"), (chunks, "chunk_id")))
     result = f"query_id {q_type}, chunk_id {c_type}, score double"
     group = {"group": F.col(group_col).cast("string")} if group_col else {}
-    met = _met(blocks(queries, "query_id", QUERIES, group, "q_"), *_size(queries), blocks(chunks, "chunk_id", ROWS, group))
+    met = _met(queries, *_size(queries), chunks, group, group)
     schema = to_arrow_schema(queries.sparkSession.createDataFrame([], result).schema)
     return top_k(met.mapInArrow(_best(limit, bool(group), schema), result), limit)
 
@@ -146,11 +160,14 @@ def _above(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row = {name: got.column(name)[i] for name in got.schema.names}
             ids, asked = row["ids"].values, row["q_ids"].values
             base = row["q_own"].values.to_numpy(zero_copy_only=False)
-            sims = np.round(_matrix(row["q_data"], len(asked)).astype(np.float64) @ _matrix(row["data"], len(ids)).astype(np.float64).T, DIGITS)
-            own = pc.index_in(row["q_own_id"].values, ids).to_numpy(zero_copy_only=False)  # nan: not in this block
-            here = np.flatnonzero(~np.isnan(own.astype(float)))
-            sims[here, own[here].astype(np.int64)] = -np.inf
-            yield pa.RecordBatch.from_arrays([asked, pa.array((sims > base[:, None]).sum(axis=1)), pa.array(sims.max(axis=1)), pa.array(base)], ["query_id", "above", "best", "own"])
+            vecs, held = _matrix(row["q_data"], len(asked)), _matrix(row["data"], len(ids)).astype(np.float64).T
+            own = pc.fill_null(pc.index_in(row["q_own_id"].values, ids), -1).to_numpy(zero_copy_only=False)  # -1: not in this block
+            for s in _slices(len(asked), len(ids)):
+                sims = vecs[s].astype(np.float64) @ held
+                np.round(sims, DIGITS, out=sims)
+                here = np.flatnonzero(own[s] >= 0)
+                sims[here, own[s][here]] = -np.inf
+                yield pa.RecordBatch.from_arrays([asked[s], pa.array((sims > base[s, None]).sum(axis=1)), pa.array(sims.max(axis=1)), pa.array(base[s])], ["query_id", "above", "best", "own"])
 
 
 def own_rank_margin(queries: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -158,8 +175,7 @@ def own_rank_margin(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     vec = lambda c: F.col(c).cast("array<float>").cast("array<double>")
     own = queries.join(chunks.select(F.col("chunk_id").alias("own_id"), F.col("vec").alias("own_vec")), "own_id").where("vec is not null and own_vec is not null")
     base = F.round(F.aggregate(F.zip_with(vec("vec"), vec("own_vec"), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x), 9)
-    asked = blocks(own.withColumn("own", base), "query_id", QUERIES, {"own_id": F.col("own_id"), "own": F.col("own")}, "q_")
-    met = _met(asked, *_size(queries), blocks(chunks, "chunk_id", ROWS))
+    met = _met(own.withColumn("own", base), *_size(queries), chunks, {"own_id": F.col("own_id"), "own": F.col("own")}, {})
     found = met.mapInArrow(_above, f"query_id {queries.schema['query_id'].dataType.simpleString()}, above long, best double, own double")
     found = found.groupBy("query_id").agg((1 + F.sum("above")).alias("dense_rank"), F.round(F.max("own") - F.max("best"), 4).alias("margin"))
     return found.select("query_id", "dense_rank", F.when(F.abs("margin") != float("inf"), F.col("margin")).alias("margin"))

@@ -384,6 +384,52 @@ def test_dense_cells_equal_double_precision():
     assert dense._cells(same, same, np.eye(300, dtype=bool), 1)[1].tolist() == [1, *[0] * 299]
 
 
+@pytest.mark.parametrize("few", [True, False])
+def test_dense_blocks_meet_apart_from_packing(spark, monkeypatch, few):
+    """No task runs the Python that packs and the Python that multiplies; ranks, margins and the best are those of all pairs."""
+    monkeypatch.setattr(dense, "ROWS", 7)
+    monkeypatch.setattr(dense, "QUERIES", 5)
+    monkeypatch.setattr(dense, "BROADCAST_ROWS", 1000 if few else 0)
+    vecs = np.random.default_rng(6).integers(-3, 4, (60, 4)).astype(np.float32)
+    chunks = df(spark, "chunk_id long, vec array<float>", *((i, v.tolist()) for i, v in enumerate(vecs)), (60, None))
+    asked = chunks.where("chunk_id % 2 = 0").select(F.col("chunk_id").alias("query_id"), "vec", ((F.col("chunk_id") + 1) % 60).alias("own_id"))
+    margins, best = dense.own_rank_margin(asked, chunks), dense.dense_top_k(asked.select("query_id", "vec"), chunks, 3)
+    for found in (margins, best):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") == 3
+        assert all("Exchange" in between for between in plan.split("MapInArrow")[1:-1])
+    sims = vecs @ vecs.T
+    want = []
+    for q in range(0, 60, 2):
+        others = np.delete(sims[q], q + 1)
+        want.append((q, 1 + int((others > sims[q, q + 1]).sum()), float(sims[q, q + 1] - others.max())))
+    assert [tuple(r) for r in margins.orderBy("query_id").collect()] == want
+    assert ranked(best) == [int(i) for q in range(0, 60, 2) for i in np.lexsort((np.arange(60), -sims[q]))[:3]]
+
+
+def test_dense_products_are_taken_in_slices():
+    """Of a pair of large blocks no whole product is held: here it would take 400 MB."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    n = 7_000
+    vecs = np.random.default_rng(8).normal(size=(n, 8)).astype(np.float32)
+    ids = np.arange(n)
+    whole = lambda x: pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), pa.array(x))
+    data = pa.array([vecs.tobytes()], pa.binary())
+    own = np.round((vecs.astype(np.float64) * np.roll(vecs, -1, 0)).sum(axis=1), 9)
+    pair = pa.RecordBatch.from_arrays([whole(ids), data, whole(ids), data, whole((ids + 1) % n), whole(own)], ["ids", "data", "q_ids", "q_data", "q_own_id", "q_own"])
+    schema = pa.schema([("query_id", pa.int64()), ("chunk_id", pa.int64()), ("score", pa.float64())])
+    for step in (dense._above, dense._best(1, False, schema)):
+        tracemalloc.start()
+        found = pa.Table.from_batches(step(iter([pair])))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert found.column("query_id").to_pylist() == ids.tolist()
+        assert most < 64 << 20
+
+
 def test_distinctive_terms_shuffle_no_frequent_word(spark):
     """Words of many documents, by far the most rows, leave before the shuffles; the rest keep counts and first places."""
     common = " ".join(f"common{k}" for k in range(50))
